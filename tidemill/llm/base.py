@@ -72,6 +72,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def fold(doc_id: Column) -> Column:
+    """crc32 of doc_id as text (a null one: of the empty text)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def joined_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string or binary column, rows separated by one newline, and where each row starts.
 
@@ -142,9 +147,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that aren't white; data ends with white."""
-    white = WHITE[data]
+#: All bytes but ASCII letters and those of other scripts.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(data: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that don't lie `between` words; data ends with one that does."""
+    white = between[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if len(data) and not white[0]:
         edge = np.concatenate([[0], edge])
@@ -156,11 +166,42 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    where = np.arange(starts[0], ends[-1])
-    inside = ~WHITE[data[starts[0] : ends[-1]]]
-    where = where[inside]
-    at = where - np.repeat(starts, lengths)
+    firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    at = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
     with np.errstate(over="ignore"):
-        terms = (data[where].astype(np.uint64) + np.uint64(1)) * powers(base | 1, int(lengths.max()))[at]
-        firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        terms = (data[at + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers(base | 1, int(lengths.max()))[at]
         return mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64))
+
+
+def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (count[i] of them), for every i in turn."""
+    total = np.cumsum(count)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - (total - count), count)
+
+
+def summed(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of `count` rows; 0 for empty runs."""
+    out = np.zeros((len(count), *values.shape[1:]), dtype=values.dtype)
+    full = np.flatnonzero(count)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(count) - count)[full], axis=0)
+    return out
+
+
+def components(edges: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """(node, root): the smallest node that each node of the edges (long, long) can reach.
+
+    Every round takes the smallest label among neighbours and then the label's own label, so the
+    distance that a label travels doubles. Each round ends in a saved table.
+    """
+    a, b = names
+    both = saved(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("u"))).distinct(), "edges")
+    labels = saved(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("l")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("v").alias("u"), "l"), "u").groupBy("v").agg(F.min("l").alias("m"))
+        low = labels.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
+        jump = labels.select(F.col("v").alias("l"), F.col("l").alias("far"))
+        step = saved(low.join(jump, "l").select("v", F.least("l", "far").alias("l"), (F.least("l", "far") != F.col("old")).alias("moved")), "labels")
+        labels = step.select("v", "l")
+        if step.where("moved").isEmpty():
+            return labels.select(F.col("v").alias("node"), F.col("l").alias("root"))
