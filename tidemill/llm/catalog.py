@@ -6,26 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.ann import neighbours
 from tidemill.llm.base import table
 from tidemill.llm.exact_dedup import exact_dedup
+from tidemill.llm.html_extract import extract
+from tidemill.llm.jaccard_join import jaccard_components
+from tidemill.llm.language_id import identify
 from tidemill.llm.mixing import mix_sources
+from tidemill.llm.pieces import encoded
+from tidemill.llm.pii import personal_data
 from tidemill.llm.sharding import shard
+from tidemill.llm.toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op3_mix_sources, op8_hilbert_shards]
+    found = [op1_exact_dedup, op2_toxicity, op3_mix_sources, op4_hnsw_neighbours, op5_sentencepiece, op6_language_id, op7_html_extract, op8_hilbert_shards, op9_personal_data, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 

@@ -81,6 +81,7 @@ class Vocabulary:
             grid[k, : len(p)] = [self.dense[ord(c)] for c in p]
         self.low = packed(grid)
         self.high = packed(np.where(grid == 0, np.uint16(0xFFFF), grid))
+        self.high[-1] += (grid[:, -1] > 0).astype(np.uint64)  # above the occurrences of a piece of full depth, too
         score = np.array([self.scores[i] for i in self.long_ids], np.float32)
         self.rank = np.searchsorted(np.unique(-score), -score)
         # Decoding: the bytes of each piece, one after the other.
