@@ -9,7 +9,8 @@ bound and by size, and pairs of points that survive are verified on the sets the
 One tree over everything would not do: in so many dimensions rectangles of unrelated texts overlap, and
 each point would meet most leaves. So there is a tree per shingle: two sets with Jaccard >= t share one
 of the first n - ceil(t * n) + 1 shingles of each in any common order, and trees hold the classes that
-have the shingle there. Frequent shingles come last in the order, so that passages that many documents
+have the shingle there. A pair is looked for at the first shingle that its sets share, so no more than
+what follows that shingle in either can be common. Frequent shingles come last in the order, so that passages that many documents
 share don't bring them together. Trees are cut into cells of at most 2 * CELL points.
 
 Groups of near copies would still give all their pairs. So every class is first compared with the
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from tidemill.llm.base import LOWER, batched, components, joined_bytes, mix, saved, spans, summed, word_hashes, words
 
 SHINGLE, GROUPS, LEAF, CELL = 5, 64, 16, 4096
-#: A shingle is frequent if FREQUENT documents of some batches have it; so many come last, the most frequent first chosen.
-FREQUENT, MOST_FREQUENT = 12, 1 << 16
+#: A shingle is frequent if FREQUENT different texts of some batch have it; so many come last, the most frequent first chosen.
+FREQUENT, MOST_FREQUENT = 4, 1 << 16
+#: Shingles with a hash in the lowest HEAD-th of all go ahead of the others when a pair is verified.
+HEAD = 5
 #: Ids up to which a set of documents is picked by a broadcast (16 MB); beyond, by a shuffle.
 PICK = 1 << 21
 
@@ -71,14 +74,14 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def prefixes(values: np.ndarray, count: np.ndarray, last: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of each set in the order (frequent or not, hash), and their numbers. last: the frequent ones, sorted."""
+def prefixes(values: np.ndarray, count: np.ndarray, last: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of each set in the order (frequent or not, hash), their places in it, and their numbers. last: the frequent ones, sorted."""
     take = np.where(count > 0, count - needed(count, percent) + 1, 0)
     begin = np.cumsum(count) - count
     if len(last) and len(values):
         late = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values
         values = values[np.argsort(2 * np.repeat(np.arange(len(count)), count) + late, kind="stable")]
-    return values[spans(begin, take)], take
+    return values[spans(begin, take)], spans(np.zeros(len(take), np.int64), take), take
 
 
 def points(values: np.ndarray, count: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -87,6 +90,28 @@ def points(values: np.ndarray, count: np.ndarray, groups: int = GROUPS) -> np.nd
     return np.bincount(cell, minlength=len(count) * groups).reshape(-1, groups).astype(np.int32)
 
 
+def small_cells(bounds: np.ndarray, point: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that pass all bounds in cells of one leaf each, all cells at once. bounds: where they start and end."""
+    first, last = bounds[:, 0], bounds[:, 1]
+    own = spans(first, last - first)
+    after = np.repeat(last, last - first) - own - 1
+    x, y = np.repeat(own, after), spans(own + 1, after)
+    need = percent * (n[x] + n[y])
+    fits = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((100 + percent) * np.minimum(rest[x], rest[y]) >= need)
+    x, y, need = x[fits], y[fits], need[fits]
+    keep = np.zeros(len(x), bool)
+    for at in range(0, len(x), 20_000):  # a bound on the gathered points
+        part = slice(at, at + 20_000)
+        keep[part] = (100 + percent) * np.minimum(point[x[part]], point[y[part]]).sum(axis=1) >= need[part]
+    return x[keep], y[keep]
+
+
+def unpacked(column) -> np.ndarray:
+    """The points of a binary column."""
+    rows = [x.as_buffer() for chunk in getattr(column, "chunks", [column]) for x in chunk]
+    return np.stack([np.frombuffer(x, np.uint16 if x.size == 2 * GROUPS else np.int32) for x in rows]).astype(np.int32) if rows else np.zeros((0, GROUPS), np.int32)
+
+
 class Tree:
     """A packed R-tree: points sorted into leaves of LEAF; every level keeps upper corners and the range of sizes."""
 
@@ -178,7 +203,10 @@ def memberships(docs: DataFrame) -> DataFrame:
 
 
 def runs(docs: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
-    """(token, cls, n, leader, leader_n): classes that share a prefix shingle, with the smallest class that has it."""
+    """(token, cls, n, rest, leader, leader_n): classes that share a prefix shingle, with the smallest class that has it.
+
+    rest: shingles of the class from this one on, in the common order.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(late)
 
     def emit(batches):
@@ -191,14 +219,15 @@ def runs(docs: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
             keep = np.zeros(len(ids), bool)
             keep[one] = True
             values, ids, count = values[np.repeat(keep, count)], ids[keep], count[keep]
-            token, take = prefixes(values, count, shared.value, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(ids, take)), pa.array(np.repeat(count, take).astype(np.int32))], ["token", "cls", "n"])
+            token, place, take = prefixes(values, count, shared.value, percent)
+            n = np.repeat(count, take)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(ids, take)), pa.array((n << 32) | (n - place))], ["token", "cls", "size"])
 
     def scan(batches):
         import pyarrow as pa
 
         # Rows come by token and class. `held` is the last row if its run has no second class yet.
-        held, lead, out = [np.zeros(0, np.int64)] * 3, None, ["token", "cls", "n", "leader", "leader_n"]
+        held, lead, out = [np.zeros(0, np.int64)] * 3, None, ["token", "cls", "n", "rest", "leader", "leader_n"]
         previous = None
         for batch in batches:
             token, cls, n = (np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held))
@@ -223,43 +252,75 @@ def runs(docs: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
             held = [token[-1:], cls[-1:], n[-1:]] if alone else [np.zeros(0, np.int64)] * 3
             lead = None if alone else (token[-1], leader[-1], leader_n[-1])
             keep = np.repeat(many, length)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, cls, n.astype(np.int32), np.repeat(leader, length), np.repeat(leader_n, length).astype(np.int32))], out)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, cls, n >> 32, n & 0xFFFFFFFF, np.repeat(leader, length), np.repeat(leader_n >> 32, length))], out)
 
-    tokens = docs.select("text").mapInArrow(emit, "token long, cls long, n int")
+    tokens = docs.select("text").mapInArrow(emit, "token long, cls long, size long")
     dealt = tokens.repartition("token").sortWithinPartitions("token", "cls")
-    return saved(dealt.mapInArrow(scan, "token long, cls long, n int, leader long, leader_n int"), "runs")
+    return saved(dealt.mapInArrow(scan, "token long, cls long, n long, rest long, leader long, leader_n long"), "runs")
 
 
-def profiles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cls, n, point, members) of the documents with these ids (doc_id, one per class)."""
+def picked(docs: DataFrame, first: DataFrame, classes: DataFrame) -> DataFrame:
+    """The texts of one document of each of these classes (cls). first: (cls, doc_id)."""
+    ids = saved(first.join(classes, "cls").where("doc_id is not null").select("doc_id").distinct(), "ids")
+    small = ids.count() <= PICK
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("text")
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    """(cls, n, point, head) of texts. head: the upper halves of the members whose hash is in the lowest HEAD-th."""
 
     def run(batches):
         import pyarrow as pa
 
         for t in batched(batches, 2_000_000):
             values, count = shingle_sets(*joined_bytes(t.column("text")))
-            point = points(values, count)
-            ends = np.cumsum(count)
-            members = [values[e - k : e].tobytes() for e, k in zip(ends, count, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, count)), pa.array(count), pa.array([p.tobytes() for p in point], pa.binary()), pa.array(members, pa.binary())], ["cls", "n", "point", "members"])
+            point = [p.astype(np.uint16).tobytes() if p.max(initial=0) < 65_536 else p.tobytes() for p in points(values, count)]
+            low = values < np.uint64(2**64 // HEAD)
+            upper = (values[low] >> np.uint64(32)).astype(np.uint32)
+            low_n = summed(low.astype(np.int64), count)
+            head = [upper[e - k : e].tobytes() for e, k in zip(np.cumsum(low_n), low_n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, count)), pa.array(count), pa.array(point, pa.binary()), pa.array(head, pa.binary())], ["cls", "n", "point", "head"])
 
-    ids = saved(ids, "ids")
-    small = ids.count() <= PICK
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    # A doc_id that several texts share brings classes that nobody asked for; joins by class drop them.
-    return saved(wanted.select("text").mapInArrow(run, "cls long, n long, point binary, members binary").dropDuplicates(["cls"]), "profiles")
+    return texts.mapInArrow(run, "cls long, n long, point binary, head binary")
 
 
-def verified(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: by the bound on their points, then by their members."""
+def sets(texts: DataFrame) -> DataFrame:
+    """(cls, members) of texts: the shingles in ascending order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t in batched(batches, 2_000_000):
+            values, count = shingle_sets(*joined_bytes(t.column("text")))
+            members = [values[e - k : e].tobytes() for e, k in zip(np.cumsum(count), count, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, count)), pa.array(members, pa.binary())], ["cls", "members"])
+
+    return texts.mapInArrow(run, "cls long, members binary")
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of the shorter sorted array's entries the other holds."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def verified(pairs: DataFrame, profile: DataFrame, members, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: by what their heads allow, then by their members.
+
+    members: of a table of classes (cls) a table (cls, members).
+    """
 
     def bound(batches):
         for batch in batches:
-            p = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, -1) for c in ("point_a", "point_b")]
-            n = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
             import pyarrow as pa
 
-            keep = (100 + percent) * np.minimum(*p).sum(axis=1) >= percent * n if batch.num_rows else np.zeros(0, bool)
+            n_a, n_b = np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("head_a"), batch.column("head_b"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                most = common(x, y) + min(n_a[k] - len(x), n_b[k] - len(y))
+                keep[k] = (100 + percent) * most >= percent * (n_a[k] + n_b[k])
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     def compare(batches):
@@ -269,57 +330,63 @@ def verified(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
             keep = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column("members_a"), batch.column("members_b"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep[k] = (100 + percent) * common >= percent * (len(x) + len(y))
+                keep[k] = (100 + percent) * common(x, y) >= percent * (len(x) + len(y))
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    side = lambda c, *more: profile.select(F.col("cls").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
-    near = pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b")
-    near = saved(near.mapInArrow(bound, "a long, b long"), "near")
-    full = near.join(side("a", "members"), "a").join(side("b", "members"), "b")
+    def side(of: DataFrame, c: str, *more: str) -> DataFrame:
+        return of.select(F.col("cls").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
+
+    near = pairs.join(side(profile, "a", "n", "head"), "a").join(side(profile, "b", "n", "head"), "b")
+    near = saved(near.select("a", "b", "n_a", "n_b", "head_a", "head_b").mapInArrow(bound, "a long, b long"), "near")
+    own = members(near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct())
+    full = near.join(side(own, "a", "members"), "a").join(side(own, "b", "members"), "b")
     return saved(full.select("a", "b", "members_a", "members_b").mapInArrow(compare, "a long, b long"), "links")
 
 
 def tree_pairs(run: DataFrame, roots: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of classes of different components, sharing a prefix shingle, that pass the bounds."""
-    own = run.select("token", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    own = run.select("token", "cls", "rest").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
     own = saved(own.join(mixed.select("token", F.ceil(F.col("members") / CELL).cast("int").alias("cells")), "token"), "mixed")
     own = own.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    own = own.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root")
+    own = own.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "rest")
     full = own.join(profile.select("cls", "n", "point"), "cls").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "cls")
 
     def join(batches):
         import pyarrow as pa
 
-        def cell(t):
-            cls, root, n, part = (np.asarray(t.column(c)) for c in ("cls", "root", "n", "own"))
-            point = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(len(cls), -1)
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            at = [np.flatnonzero(part == k) for k in (i, j)]
-            one = Tree(point[at[0]], n[at[0]])
-            x, y = tree_join(one, one if i == j else Tree(point[at[1]], n[at[1]]), percent)
-            x, y = at[0][x], at[1][y]
-            apart = root[x] != root[y]
-            x, y = cls[x[apart]], cls[y[apart]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        def cells(t, bounds):
+            cls, root, n, rest, part = (np.asarray(t.column(c)) for c in ("cls", "root", "n", "rest", "own"))
+            i, j = np.asarray(t.column("i")), np.asarray(t.column("j"))
+            point = unpacked(t.column("point"))
+            bounds = np.stack([bounds[:-1], bounds[1:]], axis=1)
+            small = (bounds[:, 1] - bounds[:, 0] <= 2 * LEAF) & (i[bounds[:, 0]] == j[bounds[:, 0]])
+            found = [small_cells(bounds[small], point, n, rest, root, percent)]
+            for lo, hi in bounds[~small].tolist():
+                at = [np.flatnonzero(part[lo:hi] == k) + lo for k in (i[lo], j[lo])]
+                one = Tree(point[at[0]], n[at[0]])
+                x, y = tree_join(one, one if i[lo] == j[lo] else Tree(point[at[1]], n[at[1]]), percent)
+                x, y = at[0][x], at[1][y]
+                keep = (root[x] != root[y]) & ((100 + percent) * np.minimum(rest[x], rest[y]) >= percent * (n[x] + n[y]))
+                found.append((x[keep], y[keep]))
+            x, y = (cls[np.concatenate(f)] for f in zip(*found, strict=True))
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
             if not t.num_rows:
                 continue
             key = [np.asarray(t.column(c)) for c in ("token", "i", "j")]
             cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-            bounds = [0, *cut.tolist(), t.num_rows]
-            for lo, hi in zip(bounds[:-2], bounds[1:-1], strict=True):
-                yield cell(t.slice(lo, hi - lo))
-            held = t.slice(bounds[-2])
+            bounds = np.concatenate([[0], cut])
+            if len(bounds) > 1:
+                yield cells(t, bounds)
+            held = t.slice(bounds[-1])
         if held is not None and held.num_rows:
-            yield cell(held)
+            yield cells(held.combine_chunks(), np.array([0, held.num_rows]))
 
     return saved(full.mapInArrow(join, "a long, b long").distinct(), "pairs")
 
@@ -334,16 +401,19 @@ def linked(docs: DataFrame, percent: int = 80, every_link: bool = False) -> tupl
     often = member.select(F.explode("often").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(MOST_FREQUENT)
     late = np.sort(np.array([r[0] for r in often.select("token").collect()], dtype=np.int64).view(np.uint64))
     run = runs(docs, late, percent)
-    first = member.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = first.join(run.select("cls").distinct(), "cls").where("doc_id is not null").select("doc_id").distinct()
-    profile = profiles(docs, ids)
+    first = saved(member.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "first")
+    # A doc_id that several rows share may bring a class more than once, and classes that nobody asked for.
+    unique = member.groupBy("doc_id").count().where("count > 1").isEmpty()
+    once = lambda df: saved(df if unique else df.dropDuplicates(["cls"]), "profiles")
+    profile = once(profiles(picked(docs, first, run.select("cls").distinct())))
+    members = lambda classes: once(sets(picked(docs, first, classes)))
     fits = (F.col("leader_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("leader_n") * percent)
     stars = run.where((F.col("cls") != F.col("leader")) & fits).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    links = verified(stars, profile, percent)
+    links = verified(stars, profile, members, percent)
     roots = components(links).select(F.col("node").alias("cls"), "root")
     if every_link:
         roots = roots.limit(0)
-    more = verified(tree_pairs(run, roots, profile, percent), profile, percent)
+    more = verified(tree_pairs(run, roots, profile, percent), profile, members, percent)
     return member.select("doc_id", "n", "cls"), more if every_link else links.unionByName(more)
 
 
