@@ -14,8 +14,9 @@ what follows that shingle in either can be common. Frequent shingles come last i
 share don't bring them together. Trees are cut into cells of at most 2 * CELL points.
 
 Groups of near copies would still give all their pairs. So every class is first compared with the
-smallest class of each of its shingles; what that links are components, and trees then only look for
-pairs between different components. No link that could join two components is skipped.
+smallest class of each of its shingles, then with the BEST partners that each tree finds; what that
+links are components, and at last trees give all pairs between different components. No link that could
+join two components is skipped.
 
 Defined results: A-Z are lower-cased; null text and text without words have no shingle, a component of
 their own, and link with nothing; fewer words than five are one shingle; equal sets link; an empty
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.base import LOWER, batched, components, joined_bytes, mix, saved, spans, summed, word_hashes, words
 
-SHINGLE, GROUPS, LEAF, CELL = 5, 64, 16, 4096
+SHINGLE, GROUPS, LEAF, CELL = 5, 64, 16, 2048
+#: Partners of each class that a tree gives first, those whose points agree best.
+BEST = 2
 #: A shingle is frequent if FREQUENT different texts of some batch have it; so many come last, the most frequent first chosen.
 FREQUENT, MOST_FREQUENT = 4, 1 << 16
 #: Shingles with a hash in the lowest HEAD-th of all go ahead of the others when a pair is verified.
@@ -90,8 +93,8 @@ def points(values: np.ndarray, count: np.ndarray, groups: int = GROUPS) -> np.nd
     return np.bincount(cell, minlength=len(count) * groups).reshape(-1, groups).astype(np.int32)
 
 
-def small_cells(bounds: np.ndarray, point: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that pass all bounds in cells of one leaf each, all cells at once. bounds: where they start and end."""
+def small_cells(bounds: np.ndarray, point: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that pass all bounds in cells of one leaf each, all cells at once, and their cells. bounds: where they start and end."""
     first, last = bounds[:, 0], bounds[:, 1]
     own = spans(first, last - first)
     after = np.repeat(last, last - first) - own - 1
@@ -103,7 +106,22 @@ def small_cells(bounds: np.ndarray, point: np.ndarray, n: np.ndarray, rest: np.n
     for at in range(0, len(x), 20_000):  # a bound on the gathered points
         part = slice(at, at + 20_000)
         keep[part] = (100 + percent) * np.minimum(point[x[part]], point[y[part]]).sum(axis=1) >= need[part]
-    return x[keep], y[keep]
+    x, y = x[keep], y[keep]
+    return x, y, np.searchsorted(first, x, side="right")
+
+
+def best_of(x: np.ndarray, y: np.ndarray, cell: np.ndarray, likeness: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` likest of one of their points in a cell."""
+    who = np.concatenate([x, y])
+    order = np.lexsort((-np.concatenate([likeness, likeness]), who, np.concatenate([cell, cell])))
+    key = np.stack([np.concatenate([cell, cell])[order], who[order]])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any(key[:, 1:] != key[:, :-1], axis=0)
+    at = np.arange(len(order))
+    rank = at - np.maximum.accumulate(np.where(new, at, 0))
+    keep = np.zeros(len(order), bool)
+    keep[order[rank < most]] = True
+    return keep[: len(x)] | keep[len(x) :]
 
 
 def unpacked(column) -> np.ndarray:
@@ -343,8 +361,8 @@ def verified(pairs: DataFrame, profile: DataFrame, members, percent: int) -> Dat
     return saved(full.select("a", "b", "members_a", "members_b").mapInArrow(compare, "a long, b long"), "links")
 
 
-def tree_pairs(run: DataFrame, roots: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes of different components, sharing a prefix shingle, that pass the bounds."""
+def tree_pairs(run: DataFrame, roots: DataFrame, profile: DataFrame, percent: int, most: int = 0) -> DataFrame:
+    """(a, b): pairs of classes of different components, sharing a prefix shingle, that pass the bounds; or only the `most` likest of each."""
     own = run.select("token", "cls", "rest").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
     own = saved(own.join(mixed.select("token", F.ceil(F.col("members") / CELL).cast("int").alias("cells")), "token"), "mixed")
@@ -368,8 +386,16 @@ def tree_pairs(run: DataFrame, roots: DataFrame, profile: DataFrame, percent: in
                 x, y = tree_join(one, one if i[lo] == j[lo] else Tree(point[at[1]], n[at[1]]), percent)
                 x, y = at[0][x], at[1][y]
                 keep = (root[x] != root[y]) & ((100 + percent) * np.minimum(rest[x], rest[y]) >= percent * (n[x] + n[y]))
-                found.append((x[keep], y[keep]))
-            x, y = (cls[np.concatenate(f)] for f in zip(*found, strict=True))
+                found.append((x[keep], y[keep], np.full(int(keep.sum()), -lo - 1)))
+            x, y, cell = (np.concatenate(f) for f in zip(*found, strict=True))
+            if most:
+                likeness = np.empty(len(x))
+                for at in range(0, len(x), 20_000):
+                    p = slice(at, at + 20_000)
+                    likeness[p] = np.minimum(point[x[p]], point[y[p]]).sum(axis=1) / (n[x[p]] + n[y[p]])
+                keep = best_of(x, y, cell, likeness, most)
+                x, y = x[keep], y[keep]
+            x, y = cls[x], cls[y]
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -409,12 +435,14 @@ def linked(docs: DataFrame, percent: int = 80, every_link: bool = False) -> tupl
     members = lambda classes: once(sets(picked(docs, first, classes)))
     fits = (F.col("leader_n") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("leader_n") * percent)
     stars = run.where((F.col("cls") != F.col("leader")) & fits).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    links = verified(stars, profile, members, percent)
-    roots = components(links).select(F.col("node").alias("cls"), "root")
+    compare = lambda pairs: verified(pairs, profile, members, percent)
+    links = compare(stars)
+    place = lambda found: components(found).select(F.col("node").alias("cls"), "root")
     if every_link:
-        roots = roots.limit(0)
-    more = verified(tree_pairs(run, roots, profile, percent), profile, members, percent)
-    return member.select("doc_id", "n", "cls"), more if every_link else links.unionByName(more)
+        return member.select("doc_id", "n", "cls"), compare(tree_pairs(run, place(links).limit(0), profile, percent))
+    for most in (BEST, 0):
+        links = links.unionByName(compare(tree_pairs(run, place(links), profile, percent, most)))
+    return member.select("doc_id", "n", "cls"), links
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
