@@ -196,7 +196,10 @@ def marked(docs: DataFrame) -> DataFrame:
     # Of each text with entities the terms to mark; copies share them.
     mine = own.where("entities is not null").select("copy", F.explode("entities").alias("entity")).distinct().join(told, "entity")
     mine = mine.groupBy("copy").agg(F.collect_set("term").alias("told")).withColumnRenamed("copy", "_tm_copy")
-    joined = own.join(mine, own["copy"] == mine["_tm_copy"], "left")
+    # Documents without entities have nothing to look up, and would all meet in one task.
+    none = own.where("copy is null").withColumn("_tm_copy", F.lit(None).cast("long")).withColumn("told", F.lit(None).cast("array<long>"))
+    some = own.where("copy is not null")
+    joined = some.join(mine, some["copy"] == mine["_tm_copy"], "left").unionByName(none)
     extra = F.expr("transform(filter(coalesce(words, array()), w -> array_contains(told, w.term)), w -> named_struct('start', w.start, 'end', w.end, 'kind', 4))")
     added = F.when(F.col("told").isNull(), F.col("spans")).otherwise(F.concat("spans", extra))
     key = F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
