@@ -2,11 +2,12 @@
 
 A text is an optional leading blank and its characters, blanks written as U+2581; pieces hold that mark
 only at their start or alone, so a run of blanks and what follows it up to the next blank (a unit) is
-encoded by itself, and equal units once per batch. The distinct units of a batch are concatenated, a
-suffix array over them (to the depth of the longest piece) is searched in one binary search for the
-range of occurrences of every piece, and the occurrences, sorted by position, are the edges of the
-lattice. Relaxing keeps, of every unit's edges that join exactly two of its present symbols, the one of
-best score (leftmost among equals), until no edge joins two: the segmentation of a BPE model.
+encoded by itself, and equal units once per batch. The distinct units of a batch are concatenated, in
+blocks of about BLOCK characters so that the index stays small; a suffix array over them (to the depth of
+the longest piece) is searched in one binary search for the range of occurrences of every piece, and the
+occurrences, sorted by position, are the edges of the lattice. Relaxing keeps, of every unit's edges that
+join exactly two of its present symbols, the one of best score (leftmost among equals), until no edge
+joins two: the segmentation of a BPE model.
 Characters without a piece fall back to their bytes.
 
 Defined results: null and empty texts have no ids; invalid UTF-8 never reaches this code; U+2581 in a
@@ -28,6 +29,8 @@ from tidemill.llm.base import batched, joined_bytes, mix, powers, spans, summed
 MODEL, MARK, DEPTH = "/opt/tokenizers/piece_bpe_32k.model", "▁", 16
 #: Units up to this length are relaxed together, a step of each at a time; longer ones with a heap each.
 LONG = 48
+#: Entries gathered at once.
+BLOCK = 1 << 17
 
 
 @dataclass
@@ -205,16 +208,26 @@ def heaped(lo: int, hi: int, at, end, rank, piece, cut: np.ndarray, ids: np.ndar
             offer(before[a], a)
 
 
+def blocks(count: np.ndarray, most: int = BLOCK) -> list[slice]:
+    """Slices of consecutive rows that hold about `most` entries together, one row at least. Bounds what is gathered at once."""
+    total = np.cumsum(count)
+    cut = np.searchsorted(total, np.arange(most, int(total[-1]) if len(total) else 0, most), side="right")
+    cut = np.unique(np.concatenate([[0], cut, [len(count)]]))
+    return [slice(int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def encode_bytes(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, one after the other, and their number in each row. Row i is data[starts[i]:starts[i + 1] - 1], blanks as 0x20."""
     v = v.ready()
     size = np.diff(starts) - 1
-    # Every row that isn't empty gets a leading blank.
+    # Every row that isn't empty gets a leading blank, in the place of the byte before it.
     full = size > 0
+    shifted, kept = np.concatenate([np.full(1, 32, np.uint8), data[:-1]]), np.ones(len(data), bool)
+    shifted[starts[:-1]] = 32
+    kept[starts[:-1][~full]] = False
+    text = shifted[kept]
     text_n = size + full
-    text = np.full(int(text_n.sum()), 32, np.uint8)
     row_at = np.cumsum(text_n) - text_n
-    text[spans(row_at + full, size)] = data[spans(starts[:-1], size)]
     begin = np.zeros(len(text), bool)
     begin[1:] = (text[1:] == 32) & (text[:-1] != 32)
     begin[row_at[full]] = True
@@ -223,9 +236,13 @@ def encode_bytes(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[n
     units = np.diff(np.searchsorted(unit_at, np.concatenate([row_at, [len(text)]])))
     if not len(unit_at):
         return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
-    with np.errstate(over="ignore"):
-        place = spans(np.zeros(len(unit_n), np.int64), unit_n)
-        hashes = mix(np.add.reduceat((text.astype(np.uint64) + np.uint64(1)) * powers(0xA24BAED4963EE407, int(unit_n.max()))[place], unit_at) + unit_n.astype(np.uint64))
+    hashes = np.empty(len(unit_at), np.uint64)
+    for own in blocks(unit_n):
+        lo, hi = unit_at[own.start], unit_at[own.stop] if own.stop < len(unit_at) else len(text)
+        with np.errstate(over="ignore"):
+            place = spans(np.zeros(own.stop - own.start, np.int64), unit_n[own])
+            terms = (text[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(0xA24BAED4963EE407, int(unit_n[own].max()))[place]
+            hashes[own] = mix(np.add.reduceat(terms, unit_at[own] - lo) + unit_n[own].astype(np.uint64))
     _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
     # The distinct units as characters, a 0 after each.
     raw = text[spans(unit_at[one], unit_n[one])]
@@ -235,8 +252,12 @@ def encode_bytes(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[n
     grid = np.zeros(int(first[-1]), np.uint16)
     where = spans(first[:-1], length)
     grid[where] = v.dense[code]
-    at, piece = edges(grid, v)
-    cut, ids = relax(len(grid), first, np.searchsorted(first, at, side="right") - 1, at, piece, v)
+    cut, ids = np.ones(len(grid), bool), np.full(len(grid), -1, np.int32)
+    for own in blocks(length + 1):
+        lo, hi = first[own.start], first[own.stop]
+        local = first[own.start : own.stop + 1] - lo
+        at, piece = edges(grid[lo:hi], v)
+        cut[lo:hi], ids[lo:hi] = relax(len(grid[lo:hi]), local, np.searchsorted(local, at, side="right") - 1, at, piece, v)
     # One id a symbol, but as many as it has bytes for a character without a piece.
     start = where[cut[where]]
     symbol = ids[start]
@@ -255,14 +276,16 @@ def encode_bytes(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[n
     out[out < 0] = v.unknown
     per_unit = summed(n_ids, np.diff(np.searchsorted(start, first)))
     from_ = np.cumsum(per_unit) - per_unit
-    return out[spans(from_[number], per_unit[number])].astype(np.int32), summed(per_unit[number], units)
+    count = per_unit[number]
+    found = [out[spans(from_[number[own]], count[own])].astype(np.int32) for own in blocks(count)]
+    return np.concatenate(found), summed(count, units)
 
 
 def decode_ids(ids: np.ndarray, count: np.ndarray, v: Vocabulary) -> list[bytes]:
     """The text of each row as UTF-8, without the leading blank."""
     v = v.ready()
     n = v.bytes_n[ids]
-    raw = v.bytes_of[spans(v.bytes_at[ids], n)].tobytes()
+    raw = b"".join(v.bytes_of[spans(v.bytes_at[ids[own]], n[own])].tobytes() for own in blocks(n))
     ends = np.cumsum(summed(n, count)) if len(count) else np.zeros(0, int)
     out, at = [], 0
     for end in ends.tolist():
