@@ -31,6 +31,8 @@ MODEL, MARK, DEPTH = "/opt/tokenizers/piece_bpe_32k.model", "▁", 16
 LONG = 48
 #: Entries gathered at once.
 BLOCK = 1 << 17
+#: Bytes of a batch, whose equal units are encoded once.
+BATCH = 8_000_000
 
 
 @dataclass
@@ -313,7 +315,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for t in batched(batches):
+        for t in batched(batches, BATCH):
             text = t.column("text").combine_chunks()
             column, ids, count = encode_column(text, shared.value)
             back = pa.array(decode_ids(ids, count, shared.value), pa.binary())
