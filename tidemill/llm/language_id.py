@@ -150,10 +150,22 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.6
 
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most `most` texts and their languages: rows outside the held-out fold, in order of a hash of doc_id."""
+    """At most `most` texts and their languages: documents outside the held-out fold, in order of a hash of doc_id.
+
+    Only hashes below a bound that about 1.25 * most documents pass are sorted, so that what tasks send
+    to the driver doesn't grow with the input; where repeated doc_ids leave too few, the bound rises.
+    Rows that repeat a doc_id count once, with the smallest (text, lang).
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) % 3 != 1) & (F.octet_length("text") <= SAMPLE_BYTES))
-    rows = usable.select("text", "lang", F.xxhash64("doc_id").alias("_tm_h"), "doc_id").orderBy("_tm_h", "doc_id", "text").limit(most).select("text", "lang").collect()
-    return [r[0] for r in rows], [r[1] for r in rows]
+    usable = usable.select("doc_id", F.struct("text", "lang").alias("_tm_x"), F.xxhash64("doc_id").alias("_tm_h"))
+    total = usable.count()
+    share = 1.25 * most / total if total else 1.0
+    while True:
+        below = usable if share >= 1 else usable.where(F.col("_tm_h") < int(2**64 * share) - 2**63)
+        rows = below.groupBy("_tm_h", "doc_id").agg(F.min("_tm_x").alias("_tm_x")).orderBy("_tm_h", "doc_id").limit(most).select("_tm_x.text", "_tm_x.lang").collect()
+        if len(rows) == most or share >= 1:
+            return [r[0] for r in rows], [r[1] for r in rows]
+        share *= 4
 
 
 def identify(docs: DataFrame, model: Model | None = None, reject: bool = False) -> DataFrame:
