@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -98,6 +99,16 @@ def joined_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
+def released() -> None:
+    """Give freed memory back to the system: Python workers stay alive between tasks, and would keep the most they ever used."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
 def batched(batches, most: int = 4_000_000):
     """Arrow batches joined or cut so that each holds about `most` bytes of its text columns, one row at least."""
     import pyarrow as pa
@@ -114,10 +125,13 @@ def batched(batches, most: int = 4_000_000):
             if held and size + piece.nbytes > most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                released()
             held.append(piece)
             size += piece.nbytes
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+        released()
 
 
 _POWERS: dict[int, np.ndarray] = {}

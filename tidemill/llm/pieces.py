@@ -228,12 +228,14 @@ def encode_bytes(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[n
     shifted[starts[:-1]] = 32
     kept[starts[:-1][~full]] = False
     text = shifted[kept]
+    del data, shifted, kept
     text_n = size + full
     row_at = np.cumsum(text_n) - text_n
     begin = np.zeros(len(text), bool)
     begin[1:] = (text[1:] == 32) & (text[:-1] != 32)
     begin[row_at[full]] = True
     unit_at = np.flatnonzero(begin)
+    del begin
     unit_n = np.diff(np.concatenate([unit_at, [len(text)]]))
     units = np.diff(np.searchsorted(unit_at, np.concatenate([row_at, [len(text)]])))
     if not len(unit_at):
@@ -246,10 +248,14 @@ def encode_bytes(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[n
             terms = (text[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(0xA24BAED4963EE407, int(unit_n[own].max()))[place]
             hashes[own] = mix(np.add.reduceat(terms, unit_at[own] - lo) + unit_n[own].astype(np.uint64))
     _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+    number = number.astype(np.int32)
     # The distinct units as characters, a 0 after each.
-    raw = text[spans(unit_at[one], unit_n[one])]
+    raw_n = unit_n[one]
+    raw = text[spans(unit_at[one], raw_n)]
+    del hashes, text, unit_at, unit_n
     code = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    length = summed(((raw & 0xC0) != 0x80).astype(np.int64), unit_n[one])
+    length = summed(((raw & 0xC0) != 0x80).astype(np.int64), raw_n)
+    del raw
     first = np.concatenate([[0], np.cumsum(length + 1)])
     grid = np.zeros(int(first[-1]), np.uint16)
     where = spans(first[:-1], length)
@@ -279,8 +285,12 @@ def encode_bytes(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[n
     per_unit = summed(n_ids, np.diff(np.searchsorted(start, first)))
     from_ = np.cumsum(per_unit) - per_unit
     count = per_unit[number]
-    found = [out[spans(from_[number[own]], count[own])].astype(np.int32) for own in blocks(count)]
-    return np.concatenate(found), summed(count, units)
+    found, at = np.empty(int(count.sum()), np.int32), 0
+    for own in blocks(count):
+        part = out[spans(from_[number[own]], count[own])]
+        found[at : at + len(part)] = part
+        at += len(part)
+    return found, summed(count, units)
 
 
 def decode_ids(ids: np.ndarray, count: np.ndarray, v: Vocabulary) -> list[bytes]:
