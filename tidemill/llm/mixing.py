@@ -66,14 +66,15 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns.
 
-    The text is shuffled once, by doc_id; rows that share a doc_id are matched by their number among
-    those of the same source and size.
+    Documents and their copies meet in windows over one shuffle by doc_id, so the text moves once (a join
+    on two keys would move it again); rows that share a doc_id are matched by their number among those of
+    the same doc_id, in order of source and size.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    same = lambda: Window.partitionBy("_tm_id").orderBy(F.col("_tm_source").asc_nulls_last(), "_tm_size")
     copies = mix_copies(docs, **how).select(F.col("doc_id").alias("_tm_id"), F.col("source").alias("_tm_source"), F.col("size").alias("_tm_size"), F.col("copies").alias("_tm_copies"))
-    copies = copies.withColumn("_tm_n", F.row_number().over(same())).select(F.col("_tm_id").alias("_tm_key"), F.col("_tm_n").alias("_tm_m"), "_tm_copies")
     own = docs.withColumn("_tm_id", F.col("doc_id")).withColumn("_tm_source", F.col("source")).withColumn("_tm_size", size)
-    own = own.withColumn("_tm_n", F.row_number().over(same()))
-    found = own.join(copies.where("_tm_copies > 0"), own["_tm_id"].eqNullSafe(copies["_tm_key"]) & (own["_tm_n"] == copies["_tm_m"]))
+    both = own.withColumn("_tm_own", F.lit(True)).unionByName(copies.withColumn("_tm_own", F.lit(False)), allowMissingColumns=True).repartition("_tm_id")
+    both = both.withColumn("_tm_n", F.row_number().over(Window.partitionBy("_tm_id", "_tm_own").orderBy(F.col("_tm_source").asc_nulls_last(), "_tm_size")))
+    both = both.withColumn("_tm_copies", F.max("_tm_copies").over(Window.partitionBy("_tm_id", "_tm_n")))
+    found = both.where(F.col("_tm_own") & (F.col("_tm_copies") > 0))
     return found.withColumn("_tm_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tm_copies")))).select(*docs.columns)
