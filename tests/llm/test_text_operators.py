@@ -273,3 +273,30 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
         assert all(abs(s - score[v]) < 1e-9 for _, v, s in found)
     assert hit / (20 * len(got)) >= 0.9
     assert neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_language_sample_is_bounded(spark, empty):
+    from tidemill.llm.language_id import sample
+
+    found = [(k, f"text {k}", "en", "s", 1, "x", 2, 3) for k in range(400)]
+    docs = spark.createDataFrame([*found, *found[:1] * 900], SCHEMA)
+    learned = [k for k in range(400) if zlib.crc32(str(k).encode()) % 3 != 1]
+    few, langs = sample(docs, 20)
+    every, _ = sample(docs, 1000)
+    assert len(few) == len(langs) == 20 and few == every[:20]
+    assert sorted(every) == sorted(f"text {k}" for k in learned) and sample(empty) == ([], [])
+
+
+def test_mix_with_repeated_and_null_ids(spark):
+    from tidemill.llm.mixing import mix_copies, mixed
+
+    found = [(k // 3 if k % 5 else None, words(3 + k, k), None, ["s", "t", None][k % 3], 1, "x", 2, 3) for k in range(60)]
+    docs = spark.createDataFrame(found, SCHEMA)
+    want = {}
+    for r in mix_copies(docs).collect():
+        want[r.doc_id, r.source, r["size"]] = r.copies
+    got = {}
+    for r in mixed(docs).collect():
+        key = r.doc_id, r.source, len(WORD.findall(r.text))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
