@@ -239,6 +239,17 @@ def test_personal_data(spark, empty):
     assert personal_data(empty).count() == 0
 
 
+def test_personal_data_in_one_and_two_texts(spark):
+    from tidemill.llm.pii import personal_data
+
+    rows = [(0, "mail ann@x.org or Xanthippe, the reader, at bob@x.org"), (1, "quagmire of kate@mail.org, the writer"), (2, "the quagmire: kate@mail.org, a reader")]
+    docs = spark.createDataFrame([*rows, *[(10 + k, f"the reader and the writer mail note {k} {'abcdefghij'[k % 10] * 4}{'klmnopqrst'[k // 10] * 4}") for k in range(60)]], "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data(docs).collect()}
+    told = {k: [t[int(a) : int(b)] for x in got[k].spans.split(",") for kind, a, b in [x.split(":")] if kind == "term"] for k, t in rows}
+    assert told == {0: ["Xanthippe"], 1: ["quagmire"], 2: ["quagmire"]}
+    assert [got[k].n_term for k in (0, 1, 2)] == [1, 1, 1] and all(got[10 + k].spans == "" for k in range(60))
+
+
 def test_html(spark):
     from tidemill.llm.html_extract import extract
 

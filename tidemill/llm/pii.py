@@ -3,9 +3,11 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value (its
 digits, or the lower-cased address) is a protected entity. Over the whole corpus, a term t discloses an
 entity c if the pointwise mutual information of t and c reaches DISCLOSURE of what there is to know
-about c: log p(t, c) / (p(t) p(c)) >= DISCLOSURE * -log p(c), probabilities counted in distinct texts.
-Only entities and pairs found in SUPPORT distinct texts are judged, as a single text proves nothing. In
-the documents that hold c, such terms are spans of kind `term` beside the base ones.
+about c: log p(t, c) / (p(t) p(c)) >= DISCLOSURE * -log p(c), probabilities counted in distinct texts;
+that is p(c | t) >= p(c) ** (1 - DISCLOSURE). Entities and pairs are judged at every count. As few texts
+prove less, p(c | t) is smoothed: of t's texts there are PRIOR more than seen, without c. A term of the
+very texts that hold c always discloses it, also where the smoothing leaves less than that bound. In the
+documents that hold c, such terms are spans of kind `term` beside the base ones.
 
 `sanitise` replaces every span by its kind, the generalisation of the value, or removes it.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.base import batched, saved
 
-SUPPORT, DISCLOSURE, TERM = 3, 0.9, 3
+PRIOR, DISCLOSURE, TERM = 1, 0.9, 3
 #: Candidate terms up to which they are broadcast to the counting pass (8 bytes each).
 BROADCAST_TERMS = 1 << 20
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -148,17 +150,20 @@ def spread(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         for t in batched(batches):
             held: dict[int, int] = {}
             for text in t.column("text").to_pylist():
-                for w in set(WORD.findall(text.lower() if text else "")):
+                own = set()
+                for w in set(WORD.findall(text or "")):
                     if len(w) < TERM:
                         continue
                     h = cache.get(w)
                     if h is None:
-                        h = hashed(w)
+                        h = hashed(w.lower())
                         if wanted is not None and (not len(wanted) or wanted[min(np.searchsorted(wanted, h), len(wanted) - 1)] != h):
                             h = 0
                         if len(cache) >= 300_000:
                             cache.clear()
                         cache[w] = h
+                    own.add(h)
+                for h in own:
                     if h:
                         held[h] = held.get(h, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "texts"])
@@ -167,43 +172,54 @@ def spread(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """(entity, term): the terms that disclose an entity."""
+    """(copy, told): of each text with entities the terms in it that disclose one of them."""
     total = docs.count()
-    once = own.where("entities is not null").groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    # One document stands for all copies of a text; its row is picked by copy and doc_id.
-    kept = own.where("entities is not null").join(once.select(F.col("copy").alias("_tm_copy"), F.col("doc_id").alias("_tm_doc")), (F.col("copy") == F.col("_tm_copy")) & F.col("doc_id").eqNullSafe(F.col("_tm_doc")))
-    entity = kept.select("copy", F.explode("entities").alias("entity"), "words")
-    often = saved(entity.select("copy", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
-    pairs = entity.join(often, "entity").select("entity", "n_entity", "copy", F.explode(F.array_distinct("words.term")).alias("term")).distinct()
-    pairs = saved(pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT), "together")
-    candidates = pairs.select("term").distinct()
+    texts = saved(own.where("entities is not null").groupBy("copy").agg(F.first("entities").alias("entities"), F.first(F.array_distinct("words.term")).alias("terms")), "texts")
+    entity = texts.select("copy", F.explode("entities").alias("entity"))
+    # Entities of the very same texts have the same counts with every term, and are judged as one class.
+    alike = entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor("copy").alias("x"), F.bit_xor(F.xxhash64("copy")).alias("y"))
+    alike = alike.select("entity", F.struct(F.xxhash64("n_entity", "x", "y").alias("class"), "n_entity").alias("c"))
+    held = saved(entity.join(alike, "entity").groupBy("copy").agg(F.collect_set("c").alias("classes")), "entities")
+    one = texts.select("copy", "terms").join(held, "copy").select("copy", "terms", F.explode("classes").alias("c"))
+    one = one.select("copy", "c.class", "c.n_entity", F.explode("terms").alias("term"))
+    pairs = saved(one.groupBy("class", "n_entity", "term").agg(F.count(F.lit(1)).alias("both")), "together")
+    candidates = saved(pairs.select("term").distinct(), "candidates")
     n = candidates.count()
-    if not n:
-        return pairs.select("entity", "term")
-    wanted = np.sort(np.array([r[0] for r in candidates.collect()], np.int64)) if n <= BROADCAST_TERMS else None
+    wanted = np.sort(candidates.toArrow().column("term").to_numpy()) if n <= BROADCAST_TERMS else None
     counted = spread(docs, wanted).join(candidates, "term")
     both, entity_n, term_n = (F.col(c).cast("double") for c in ("both", "n_entity", "texts"))
-    information = -F.log(entity_n / F.lit(float(total)))
-    mutual = F.log(both * F.lit(float(total)) / (entity_n * F.greatest(term_n, both)))
-    return saved(pairs.join(counted, "term").where(mutual >= DISCLOSURE * information).select("entity", "term"), "disclosures")
+    enough = F.least(F.pow(entity_n / F.lit(float(total)), F.lit(1 - DISCLOSURE)), entity_n / (entity_n + PRIOR))
+    told = saved(pairs.join(counted, "term").where(both / (F.greatest(term_n, both) + PRIOR) >= enough).select("class", "term"), "disclosures")
+    return one.join(told, ["class", "term"]).groupBy("copy").agg(F.collect_set("term").alias("told"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): all spans (start, end, kind number) by start, then kind; base spans and the terms that disclose them."""
     docs = docs.select("doc_id", "text")
     own = found(docs)
-    told = disclosures(docs, own)
     # Of each text with entities the terms to mark; copies share them.
-    mine = own.where("entities is not null").select("copy", F.explode("entities").alias("entity")).distinct().join(told, "entity")
-    mine = mine.groupBy("copy").agg(F.collect_set("term").alias("told")).withColumnRenamed("copy", "_tm_copy")
-    # Documents without entities have nothing to look up, and would all meet in one task.
-    none = own.where("copy is null").withColumn("_tm_copy", F.lit(None).cast("long")).withColumn("told", F.lit(None).cast("array<long>"))
+    mine = disclosures(docs, own).withColumnRenamed("copy", "_tm_copy")
     some = own.where("copy is not null")
-    joined = some.join(mine, some["copy"] == mine["_tm_copy"], "left").unionByName(none)
-    extra = F.expr("transform(filter(coalesce(words, array()), w -> array_contains(told, w.term)), w -> named_struct('start', w.start, 'end', w.end, 'kind', 4))")
-    added = F.when(F.col("told").isNull(), F.col("spans")).otherwise(F.concat("spans", extra))
-    key = F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return joined.select("doc_id", F.array_sort(key).alias("spans"))
+    joined = some.join(mine, some["copy"] == mine["_tm_copy"], "left").select("doc_id", "spans", "words", "told")
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            words, told, out = batch.column("words"), batch.column("told"), []
+            for k, base in enumerate(batch.column("spans").to_pylist()):
+                all_ = [(s["start"], s["kind"], s["end"]) for s in base]
+                if told[k].is_valid:
+                    w = words[k].values
+                    hit = np.flatnonzero(np.isin(w.field("term").to_numpy(), told[k].values.to_numpy()))
+                    all_ += zip(w.field("start").to_numpy()[hit].tolist(), [KINDS.index("term")] * len(hit), w.field("end").to_numpy()[hit].tolist(), strict=True)
+                out.append([{"start": a, "kind": kind, "end": b} for a, kind, b in sorted(all_)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kinds)], ["doc_id", "spans"])
+
+    # Documents without entities have no span at all.
+    none = own.where("copy is null").select("doc_id", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("spans"))
+    return joined.mapInArrow(run, "doc_id long, spans array<struct<start:int,kind:int,end:int>>").unionByName(none)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
