@@ -250,6 +250,47 @@ def test_personal_data_in_one_and_two_texts(spark):
     assert [got[k].n_term for k in (0, 1, 2)] == [1, 1, 1] and all(got[10 + k].spans == "" for k in range(60))
 
 
+def test_personal_data_with_copies_against_brute_force(spark):
+    from tidemill.llm.pii import DISCLOSURE, PRIOR, base_spans, personal_data, terms
+
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    texts = [None, "", "İstanbul for zed@x.org"]
+    for k in range(150):
+        w = rng.sample(pool, 6) + ["THE"] * (k % 2)
+        if k % 3 == 0:
+            n = int(rng.paretovariate(0.5)) % 9
+            w += [f"user{n}@x.org", f"Name{'abcdefghi'[n] * 3}"] + ["10.0.0.7", "gateway"] * (k % 4 == 0)
+        texts.append(" ".join(rng.sample(w, len(w))))
+    rows = texts + [texts[3]] * 700 + [texts[4]] * 300 + texts[6:20] * 3 + [None, ""]
+    distinct = {t or "" for t in rows}
+    of, holds = {}, {}
+    for t in distinct:
+        own = base_spans(t)
+        for e in {(k, v) for _, _, k, v in own}:
+            of.setdefault(e, set()).add(t)
+        for w in re.findall(r"[^\W\d_]{3,}", t):
+            holds.setdefault(w.lower(), set()).add(t)
+
+    def want(t):
+        own, found = base_spans(t), []
+        for w, a, b in terms(t, own):
+            for e in {(k, v) for _, _, k, v in own}:
+                both = sum(w in {x for x, *_ in terms(u, base_spans(u))} for u in of[e])
+                if both / (len(holds[w]) + PRIOR) >= min((len(of[e]) / len(distinct)) ** (1 - DISCLOSURE), len(of[e]) / (len(of[e]) + PRIOR)):
+                    found.append(f"term:{a}:{b}")
+                    break
+        return found
+
+    expected = {t: want(t) for t in distinct}
+    assert expected[texts[3]] and sum(map(bool, expected.values())) > 20
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(7)
+    got = personal_data(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [x for x in r.spans.split(",") if x.startswith("term")] == expected[rows[r.doc_id] or ""]
+
+
 def test_html(spark):
     from tidemill.llm.html_extract import extract
 

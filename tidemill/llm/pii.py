@@ -13,9 +13,10 @@ documents that hold c, such terms are spans of kind `term` beside the base ones.
 
 Terms are runs of letters of at least TERM characters, lower-cased; offsets are code points.
 
-Defined results: null and empty texts have no span; equal texts count once in the statistics, and all
-their copies get the same spans; matches that fail a check (parts above 255, digits out of range, Luhn)
-are dropped and not tried again; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no span; equal texts count once in all statistics (a null one
+as empty), and all their copies get the same spans; matches that fail a check (parts above 255, digits
+out of range, Luhn) are dropped and not tried again; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def spread(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(term, texts): of terms the number of distinct texts that hold them, over all documents. wanted: only these, sorted."""
+    """(term, texts): of terms the number of distinct texts that hold them, over all documents; of term 0 that of all texts. wanted: only these, sorted."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -148,10 +149,10 @@ def spread(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         wanted = shared.value
         cache: dict[str, int] = {}
         for t in batched(batches):
-            held: dict[int, int] = {}
+            held: dict[int, int] = {0: t.num_rows}
             for text in t.column("text").to_pylist():
                 own = set()
-                for w in set(WORD.findall(text or "")):
+                for w in set(WORD.findall(text)):
                     if len(w) < TERM:
                         continue
                     h = cache.get(w)
@@ -168,12 +169,13 @@ def spread(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                         held[h] = held.get(h, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "texts"])
 
-    return docs.select("text").mapInArrow(run, "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
+    # Copies meet after each task has kept one of its own, so a large group is no hot spot.
+    once = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return once.mapInArrow(run, "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
 
 
 def disclosures(docs: DataFrame, own: DataFrame) -> DataFrame:
     """(copy, told): of each text with entities the terms in it that disclose one of them."""
-    total = docs.count()
     texts = saved(own.where("entities is not null").groupBy("copy").agg(F.first("entities").alias("entities"), F.first(F.array_distinct("words.term")).alias("terms")), "texts")
     entity = texts.select("copy", F.explode("entities").alias("entity"))
     # Entities of the very same texts have the same counts with every term, and are judged as one class.
@@ -186,7 +188,8 @@ def disclosures(docs: DataFrame, own: DataFrame) -> DataFrame:
     candidates = saved(pairs.select("term").distinct(), "candidates")
     n = candidates.count()
     wanted = np.sort(candidates.toArrow().column("term").to_numpy()) if n <= BROADCAST_TERMS else None
-    counted = spread(docs, wanted).join(candidates, "term")
+    counted = saved(spread(docs, wanted), "spread")
+    total = counted.where("term = 0").agg(F.sum("texts")).first()[0] or 0
     both, entity_n, term_n = (F.col(c).cast("double") for c in ("both", "n_entity", "texts"))
     enough = F.least(F.pow(entity_n / F.lit(float(total)), F.lit(1 - DISCLOSURE)), entity_n / (entity_n + PRIOR))
     told = saved(pairs.join(counted, "term").where(both / (F.greatest(term_n, both) + PRIOR) >= enough).select("class", "term"), "disclosures")
