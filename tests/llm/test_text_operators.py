@@ -304,6 +304,29 @@ def test_html(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_templates_with_odd_pages(spark):
+    from tidemill.llm.html_extract import extract
+
+    def page(k, *around):
+        return "".join(f"<div>{x}</div>" for x in (*around[:1], f"Story {k} tells of {words(12, k)}", *around[1:]))
+
+    rows = [("odd", page(k, "Welcome to our site", "All rights kept")) for k in range(12)]
+    rows += [("odd", None), ("odd", ""), ("odd", "<table><tr><td>quite another layout</table>")]
+    rows += [("two", page(20 + k, "Read more here", "Buy now")) for k in range(2)]
+    rows += [("three", page(30 + k, "First layout")) for k in range(6)] + [("three", f"<section>{page(40 + k, 'Second layout')}</section>") for k in range(6)]
+    text = [f"<p>{words(15, 60 + k)}</p>" for k in range(4)]
+    rows += [("near", "".join(text)), ("near", "".join([*text[:3], "<p>changed end</p>"])), ("near", page(50))]
+    rows += [("copies", page(70, "Only once"))] * 4
+    docs = spark.createDataFrame([(k, f"http://{h}/", x) for k, (h, x) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(docs).collect()}
+    story = lambda k: f"Story {k} tells of {words(12, k)}"
+    assert [got[k] for k in range(15)] == [*map(story, range(12)), "", "", "quite another layout"]
+    assert [got[k] for k in (15, 16)] == [story(20), story(21)]
+    assert [got[k] for k in range(17, 29)] == [*map(story, range(30, 36)), *map(story, range(40, 46))]
+    assert got[29].count("\n\n") == got[30].count("\n\n") == 3 and got[31] == story(50)
+    assert all(got[k] == f"Only once\n\n{story(70)}" for k in range(32, 36))
+
+
 def test_nearest_neighbours_recall_and_odd_vectors(spark):
     from tidemill.llm.ann import neighbours
 

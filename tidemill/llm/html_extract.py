@@ -1,19 +1,20 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is a sequence of tokens: its tags and its strings (the text of a block), each told apart by the
-path of elements that holds it. Tokens of pages of one host that occur equally often on every page have
-the same occurrence vector and form an equivalence class. Vectors are never gathered: each token has
+path of elements that holds it. Tokens that occur on the same pages of a host, equally often on each,
+have the same occurrence vector and form an equivalence class. Vectors are never gathered: each token has
 the number of pages and of occurrences, and the exclusive or of a hash of (page, occurrences), which
-partial aggregation sums map-side, so a host that holds a third of all pages is no hot spot. Classes
-that occur on every one of at least MIN_PAGES pages of a host are its template; on a page a class is
-valid if its tokens come in the same order in every repetition, and classes nest into a tree whose gaps
-are the slots. Strings of the template are dropped; of the slots, those in the article are the text.
+partial aggregation sums map-side, so a host that holds a third of all pages is no hot spot. Classes on a
+SHARE of a host's pages, and on two at least, make its templates: a host can have several, and odd pages
+don't matter. Pages without any token don't count, and equal ones count once. On a page a class is valid
+if its tokens come in the same order in every repetition, and classes nest into a tree whose gaps are the
+slots. Strings of the template are dropped; of the slots, those in the article are the text.
 
 An element is no part of the article inside navigation, header, footer, aside, form and the like, or
 under a class, id or role that names such a part (menu, sidebar, advert, notice, comments, ...). If a
-page has <article> or <main>, only slots inside count. Hosts with few pages have no template, and the
-slots are all strings. If all strings of an article belong to the template (a host of equal pages),
-they are its text.
+page has <article> or <main>, only slots inside count. Strings on fewer than SURE_PAGES pages or on less
+than half of the host's may also be what near copies share: where these make up most of an article, they
+stay. If all strings of an article belong to the template (a host of equal pages), they are its text.
 
 Defined results: null html is empty; a null url or one without host makes a host of its own kind; a
 page without article text has an empty string; broken markup is repaired as browsers do (unclosed and
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.base import batched, saved
 
-#: Pages of a host from which a template is deduced, and templates' tokens up to which they are broadcast (20 bytes each).
-MIN_PAGES, BROADCAST_TOKENS = 5, 500_000
+#: The share of a host's pages that a template needs, and pages from which its strings are surely no text of near copies.
+SHARE, SURE_PAGES = 0.25, 5
+#: Templates' tokens up to which they are broadcast (20 bytes each).
+BROADCAST_TOKENS = 500_000
 
 # HTML's element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,11 +55,6 @@ ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']
 BLANK = re.compile(r"[\s ]+")
 
 
-def host(url: str | None) -> str:
-    found = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return found[1].lower() if found else ""
-
-
 def mark(*parts: str) -> int:
     """A signed 64-bit hash."""
     return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
@@ -192,77 +190,93 @@ def template(tokens: list, classes: dict[int, int]) -> set[int]:
     return found
 
 
-def main_text(source: str | None, classes: dict[int, int]) -> str:
-    """The strings of the slots inside the article, in page order."""
+def main_text(source: str | None, classes: dict[int, int], unsure: frozenset[int] = frozenset()) -> str:
+    """The strings of the slots inside the article, in page order. unsure: tokens that near copies may share."""
     tokens = Page(source or "").tokens
     strings = [(k, t) for k, t in enumerate(tokens) if t[1] is not None and not t[2]]
     inner = [x for x in strings if x[1][3]]
     strings = inner or ([] if any(t[3] and not t[2] for t in tokens) else strings)
     if classes and strings:
         fixed = template(tokens, classes)
+        size = lambda found: sum(len(t[1]) for _, t in found)
+        if 2 * size([x for x in strings if x[0] in fixed and x[1][0] in unsure]) > size(strings):
+            fixed = {k for k in fixed if tokens[k][0] not in unsure}
         strings = [x for x in strings if x[0] not in fixed] or strings
     return "\n\n".join(t[1] for _, t in strings)
 
 
+def named(pages: DataFrame) -> DataFrame:
+    """pages with their host as _tm_host, lower-cased; empty where the url is null or has none."""
+    url = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return pages.withColumn("_tm_host", F.lower(url))
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, vector): of each token of a host its occurrence vector, as counts and a hash."""
+    """(host, token, pages, total, vector, text): of each token of a host its occurrence vector, as counts and a hash; text: 1 if it is a string of the article anywhere."""
 
     def run(batches):
         import pyarrow as pa
 
         for t in batched(batches, 8_000_000):
             held: dict[tuple[str, int], list[int]] = {}
-            for page, url, source in zip(t.column("page_id").to_pylist(), t.column("url").to_pylist(), t.column("html").to_pylist(), strict=True):
-                own: dict[int, int] = {0: 1}  # token 0 counts the host's pages
-                for h, *_ in Page(source or "").tokens:
-                    own[h] = own.get(h, 0) + 1
-                at, by_count = host(url), {}
-                for h, n in own.items():
+            for at, source in zip(t.column("_tm_host").to_pylist(), t.column("html").to_pylist(), strict=True):
+                own: dict[int, list[int]] = {}
+                for h, string, outside, _ in Page(source).tokens:
+                    x = own.setdefault(h, [0, 0])
+                    x[0] += 1
+                    x[1] |= string is not None and not outside
+                if own:
+                    own[0] = [1, 0]  # token 0 counts the host's pages that have any
+                page, by_count = mark(source), {}
+                for h, (n, text) in own.items():
                     if n not in by_count:
-                        by_count[n] = mark(str(page), str(url), str(n))
-                    x = held.setdefault((at, h), [0, 0, 0])
+                        by_count[n] = mark(str(page), str(n))
+                    x = held.setdefault((at, h), [0, 0, 0, 0])
                     x[0] += 1
                     x[1] += n
                     x[2] ^= by_count[n]
+                    x[3] |= text
             keys, values = list(held), list(held.values())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *[pa.array([x[i] for x in v], pa.int64()) for v, i in ((keys, 1), (values, 0), (values, 1), (values, 2))]], ["host", "token", "pages", "total", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *[pa.array([x[i] for x in v], pa.int64()) for v, i in ((keys, 1), (values, 0), (values, 1), (values, 2), (values, 3))]], ["host", "token", "pages", "total", "vector", "text"])
 
-    counted = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, pages long, total long, vector long")
-    return counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"))
+    once = named(pages).select("_tm_host", "html").where("html is not null").distinct()
+    counted = once.mapInArrow(run, "host string, token long, pages long, total long, vector long, text long")
+    return counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.max("text").alias("text"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, classes): of each host the tokens on every page, and the number of each one's equivalence class."""
-    seen = occurrences(pages).where("pages >= 2 or token = 0")
-    seen = saved(seen.where(F.col("pages") >= MIN_PAGES), "occurrences")
+    """(host, tokens, classes, unsure): of each host the tokens of its templates, the number of each one's equivalence class, and whether near copies may share it."""
+    seen = saved(occurrences(pages).where("pages >= 2"), "occurrences")
     size = seen.where("token = 0").select(F.col("host").alias("_tm_host"), F.col("pages").alias("_tm_pages"))
-    own = seen.where("token != 0").join(size, (seen["host"] == size["_tm_host"]) & (seen["pages"] == size["_tm_pages"]))
-    # Tokens on every page of a host are at most as many as one page has.
-    grouped = own.groupBy("host").agg(F.collect_list(F.struct("token", F.xxhash64("pages", "total", "vector").alias("class"))).alias("t"))
-    return saved(grouped.select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes")), "templates")
+    own = seen.where("token != 0").join(size, seen["host"] == size["_tm_host"]).where(F.col("pages") >= SHARE * F.col("_tm_pages"))
+    unsure = (F.col("pages") < SURE_PAGES) | (2 * F.col("pages") < F.col("_tm_pages"))
+    # Tokens on a share of the pages are at most as many as an average page has, over the share.
+    grouped = own.groupBy("host").agg(F.collect_list(F.struct("token", F.xxhash64("pages", "total", "vector").alias("class"), unsure.alias("unsure"))).alias("t"), F.max("text").alias("text"))
+    # Only strings are dropped, so a template without one in an article changes nothing.
+    return saved(grouped.where("text = 1").select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes"), F.col("t.unsure").alias("unsure")), "templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     known = templates(pages)
     small = (known.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS
-    url = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(url).alias("_tm_host"))
-    wanted = wanted.join(F.broadcast(known) if small else known, F.col("_tm_host") == known["host"], "left").select("page_id", "url", "html", "host", "tokens", "classes")
+    wanted = named(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_tm_host")
+    wanted = wanted.join(F.broadcast(known) if small else known, F.col("_tm_host") == known["host"], "left").select("page_id", "url", "html", "host", "tokens", "classes", "unsure")
 
     def run(batches):
         import pyarrow as pa
 
-        last, classes = None, {}
+        last, classes, unsure = None, {}, frozenset()
         for batch in batches:
             out = []
             hosts = batch.column("host").to_pylist()
-            tokens, numbers, source = batch.column("tokens"), batch.column("classes"), batch.column("html")
+            tokens, numbers, doubts, source = (batch.column(c) for c in ("tokens", "classes", "unsure", "html"))
             for k, at in enumerate(hosts):
                 if at != last:
                     last = at
                     classes = dict(zip(tokens[k].as_py(), numbers[k].as_py(), strict=True)) if at is not None else {}
-                out.append(main_text(source[k].as_py(), classes))
+                    unsure = frozenset(h for h, x in zip(tokens[k].as_py(), doubts[k].as_py(), strict=True) if x) if at is not None else frozenset()
+                out.append(main_text(source[k].as_py(), classes, unsure))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return wanted.mapInArrow(run, "page_id long, url string, text string, n_chars long")
