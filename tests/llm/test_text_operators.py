@@ -221,6 +221,29 @@ def test_toxicity_and_language_learn(spark, empty):
     assert identify(empty).count() == 0
 
 
+def test_toxic_passages_at_every_offset():
+    from tidemill.llm.base import joined_bytes
+    from tidemill.llm.toxicity import WINDOW, train, windows
+
+    first, size, n = windows(np.array([300]))
+    half = WINDOW // 2 + 1
+    assert len(first) == n[0] and all(((first <= at) & (first + size >= at + half)).any() for at in range(300 - half + 1))
+    rng = random.Random(5)
+    clean = ["the", "and", "ther", "tion", "of", "house", "river", "walk"]
+    passage = lambda: [rng.choice(["idiot", "scum", "vequair"]) if k % 8 == 0 else rng.choice(clean) for k in range(half)]
+    texts, toxic = [], []
+    for i in range(400):
+        w = rng.choices(clean, k=rng.randint(20, 90))
+        toxic.append(int(i % 3 == 0))
+        at = rng.randrange(len(w))
+        texts.append(" ".join([*w[:at], *(passage() if toxic[-1] else []), *w[at:]]))
+    net = train(texts, toxic)
+    around, own = rng.choices(clean, k=300), passage()
+    long = [" ".join(around), *[" ".join([*around[:at], *own, *around[at:]]) for at in range(301)]]
+    score = net.scores(*joined_bytes(pa.array(long)))
+    assert score[0] < 0.5 and (score[1:] >= 0.5).mean() == 1
+
+
 def test_personal_data(spark, empty):
     from tidemill.llm.pii import base_spans, digest, personal_data, sanitise
 

@@ -2,7 +2,8 @@
 
 A word's input is a hashed word embedding plus the sum of the embeddings of its 3- and 4-character
 grams (bytes of the lower-cased word, edges included). Forward and backward gated recurrent units run
-over windows of WINDOW words that overlap by WINDOW - STRIDE; attention pools the states of a window,
+over windows of WINDOW words that overlap by WINDOW - STRIDE, so that a passage of up to WINDOW - STRIDE
++ 1 words lies whole in one wherever it stands; attention pools the states of a window,
 a linear unit scores it, and a document's score is that of its worst window, shifted so that 0.5 parts
 the classes of the sample best. A fifth of the sample never enters the gradient and picks the epoch.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.base import LOWER, NO_LETTER, batched, fold, joined_bytes, spans, summed, word_hashes, words
 
 POSITIVES, NEGATIVES, SAMPLE_BYTES = 1200, 1800, 6000
-WINDOW, STRIDE, INPUT, HIDDEN, BITS, SEED = 32, 24, 16, 8, 15, 11
+WINDOW, STRIDE, INPUT, HIDDEN, BITS, SEED = 32, 16, 16, 8, 15, 11
 
 
 def vocabulary(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
