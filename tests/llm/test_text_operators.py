@@ -385,6 +385,22 @@ def test_language_sample_is_bounded(spark, empty):
     assert sorted(every) == sorted(f"text {k}" for k in learned) and sample(empty) == ([], [])
 
 
+def test_rare_and_long_languages_are_learned(spark):
+    from tidemill.llm.language_id import identify, sample
+
+    rng = random.Random(6)
+    of = {"en": ["the", "and", "ther", "tion"], "fi": ["hyvää", "yö", "kissa", "talo"], "pl": ["wszy", "jest", "czło", "dzię"]}
+    text = lambda x, n: " ".join(rng.choices(of[x], k=n))
+    rows = [(k, text("en", 30), "en") for k in range(900)] + [(1000 + k, text("fi", 30), "fi") for k in range(12)] + [(2000 + k, text("pl", 6000), "pl") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = sample(docs, 10)
+    assert langs.count("en") == 10 and 3 <= langs.count("fi") <= 10 and 3 <= langs.count("pl") <= 10
+    assert set(langs[: len(langs) * 4 // 5]) == {"en", "fi", "pl"} and max(len(t.encode()) for t in texts) <= 20_000
+    got = [(r.doc_id, r.lang_pred) for r in identify(docs).collect()]
+    want = {r[0]: r[2] for r in rows}
+    assert np.mean([want[i] == x for i, x in got if i >= 1000]) > 0.9
+
+
 def test_mix_with_repeated_and_null_ids(spark):
     from tidemill.llm.mixing import mix_copies, mixed
 

@@ -2,9 +2,10 @@
 
 Features are the 3- and 4-byte grams of the words of the text (ASCII lower-cased), a gram's first or
 last byte standing for the word's edge. Each gram has one of BUCKETS embeddings; their mean over the
-whole text goes through a linear softmax. Training takes at most SAMPLE labelled documents of at most
-SAMPLE_BYTES each (the first in order of a hash of doc_id), cut into segments so that short texts are
-learned too. A temperature is fitted on a fifth of them that the gradient never sees, and so is the
+whole text goes through a linear softmax. Training takes SAMPLE labelled documents in even shares of the
+languages, or EACH of a language if that is more (the first in order of a hash of doc_id; of texts over
+SAMPLE_BYTES the start), and of each up to 8 segments of 30 to 600 bytes, so that short texts are learned
+too. A temperature is fitted on a fifth of them that the gradient never sees, and so is the
 confidence below which a prediction is marked `rejected`.
 
 Defined results: null text, and text without a letter, give `und` with score 0; so does every text
@@ -14,15 +15,16 @@ are scored alike; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.base import LOWER, WHITE, batched, fold, joined_bytes, spans, summed
 
-SAMPLE, SAMPLE_BYTES = 2000, 20_000
+SAMPLE, EACH, SAMPLE_BYTES = 2000, 500, 20_000
 BUCKETS_LOG2, SIZE, SEED = 16, 16, 7
 
 
@@ -116,6 +118,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.6
 
     fit = owner < max(1, len(texts) * 4 // 5)
     rows = np.flatnonzero(fit)
+    # Segments of rare languages are seen more often, up to half as many as the most frequent one has.
+    per = np.bincount(label[owner[rows]], minlength=len(languages))
+    rows = np.repeat(rows, np.maximum(1, per.max(initial=0) // (2 * np.maximum(1, per)))[label[owner[rows]]])
     steps, done = max(1, epochs * ((len(rows) + batch - 1) // batch)), 0
     for _ in range(epochs):
         rng.shuffle(rows)
@@ -149,23 +154,34 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.6
     return model
 
 
-def sample(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most `most` texts and their languages: documents outside the held-out fold, in order of a hash of doc_id.
+def sample(docs: DataFrame, most: int | None = None) -> tuple[list[str], list[str]]:
+    """At most `most` texts of each language (by default an even share of SAMPLE, EACH at least), and their languages: documents outside the held-out fold, those with the lowest hashes of doc_id.
 
-    Only hashes below a bound that about 1.25 * most documents pass are sorted, so that what tasks send
-    to the driver doesn't grow with the input; where repeated doc_ids leave too few, the bound rises.
-    Rows that repeat a doc_id count once, with the smallest (text, lang).
+    Only hashes below a bound of each language, which about 1.25 * most of its documents pass, are sorted,
+    so that what tasks send to the driver doesn't grow with the input; where repeated doc_ids leave too
+    few, the bound rises. Rows of a language that repeat a doc_id count once, with the smallest text. Of
+    texts over SAMPLE_BYTES the first SAMPLE_BYTES / 4 characters are taken. Languages are spread evenly
+    over the order, so that each one is in the part that is learned.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) % 3 != 1) & (F.octet_length("text") <= SAMPLE_BYTES))
-    usable = usable.select("doc_id", F.struct("text", "lang").alias("_tm_x"), F.xxhash64("doc_id").alias("_tm_h"))
-    total = usable.count()
-    share = 1.25 * most / total if total else 1.0
-    while True:
-        below = usable if share >= 1 else usable.where(F.col("_tm_h") < int(2**64 * share) - 2**63)
-        rows = below.groupBy("_tm_h", "doc_id").agg(F.min("_tm_x").alias("_tm_x")).orderBy("_tm_h", "doc_id").limit(most).select("_tm_x.text", "_tm_x.lang").collect()
-        if len(rows) == most or share >= 1:
-            return [r[0] for r in rows], [r[1] for r in rows]
-        share *= 4
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) % 3 != 1))
+    text = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4))
+    usable = usable.select("doc_id", "lang", text.alias("text"), F.xxhash64("doc_id").alias("_tm_h"))
+    total = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    most = most or max(EACH, SAMPLE // max(1, len(total)))
+    share = {x: 1.25 * most / n for x, n in total.items()}
+    found = []
+    while share:
+        bounds = docs.sparkSession.createDataFrame([(x, 2**63 - 1 if s >= 1 else int(2**64 * s) - 2**63) for x, s in share.items()], "_tm_lang string, _tm_most long")
+        below = usable.join(F.broadcast(bounds), (F.col("lang") == F.col("_tm_lang")) & (F.col("_tm_h") <= F.col("_tm_most")))
+        once = below.groupBy("lang", "_tm_h", "doc_id").agg(F.min("text").alias("text"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("_tm_h", "doc_id"))
+        rows = once.withColumn("_tm_k", place).where(F.col("_tm_k") <= most).select("lang", "_tm_k", "_tm_h", "text").collect()
+        count = Counter(r[0] for r in rows)
+        full = {x for x, s in share.items() if s >= 1 or count[x] == most}
+        found += [((r[1] - 0.5) / count[r[0]], r[2], r[0], r[3]) for r in rows if r[0] in full]
+        share = {x: 4 * s for x, s in share.items() if x not in full}
+    found.sort()
+    return [r[3] for r in found], [r[2] for r in found]
 
 
 def identify(docs: DataFrame, model: Model | None = None, reject: bool = False) -> DataFrame:
