@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows whose numbers are one binary value, as a power of two, and the most rows whose numbers are broadcast (a byte each).
+CHUNK, PLACES = 12, 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,56 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._tm_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that saved() wrote, once all that was made of them is saved itself."""
+    for df in tables:
+        jvm, session = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df._tm_path)
+        path.getFileSystem(session.hadoopConfiguration()).delete(path, True)
+
+
+def from_one_scan(df: DataFrame) -> bool:
+    """Whether df is a scan of Parquet files with nothing but projections and filters above it."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with the place of each row: _tm_file (a hash of its file's path) and _tm_row (its number in the file).
+
+    Places are the same in every scan, so what is decided about rows can be brought to their texts without
+    a join by value. Frames that aren't a plain scan of Parquet files are saved first.
+    """
+    if "_metadata" not in docs.columns and from_one_scan(docs):
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias("_tm_file"), F.col("_metadata.row_index").alias("_tm_row"))
+        except AnalysisException:
+            pass  # another format, which has no row numbers
+    return saved(docs.select("*", F.lit(0).cast("long").alias("_tm_file"), F.monotonically_increasing_id().alias("_tm_row")), "rows")
+
+
+def with_numbers(docs: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+    """placed() docs with the number (0 to 9) that `numbers` (_tm_file, _tm_row, n) has for each row, 0 where it has none.
+
+    Numbers travel as a byte each, 1 << CHUNK rows in one value. Up to PLACES rows they are broadcast; beyond,
+    docs are shuffled by file and chunk.
+    """
+    own = F.struct((F.col("_tm_row") % (1 << CHUNK)).cast("int").alias("k"), F.col("n").cast("string").alias("n"))
+    part = numbers.groupBy(F.col("_tm_file").alias("_tm_f"), F.shiftright("_tm_row", CHUNK).alias("_tm_c")).agg(F.array_sort(F.collect_list(own)).alias("x"))
+    # Zeros fill the gaps between the rows that have a number.
+    text = F.expr("array_join(transform(x, (e, i) -> concat(repeat('0', e.k - if(i = 0, -1, x[greatest(i, 1) - 1].k) - 1), e.n)), '')")
+    part = saved(part.select("_tm_f", "_tm_c", text.cast("binary").alias("_tm_n")), name)
+    small = (part.agg(F.sum(F.octet_length("_tm_n"))).first()[0] or 0) <= PLACES
+    found = docs.join(F.broadcast(part) if small else part, (F.col("_tm_file") == F.col("_tm_f")) & (F.shiftright("_tm_row", CHUNK) == F.col("_tm_c")), "left")
+    number = F.conv(F.hex(F.substring("_tm_n", (F.col("_tm_row") % (1 << CHUNK)).cast("int") + 1, F.lit(1))), 16, 10).cast("int") - 48
+    return found.withColumn(name, F.coalesce(number, F.lit(0))).drop("_tm_f", "_tm_c", "_tm_n")
 
 
 def parts(spark: SparkSession) -> int:

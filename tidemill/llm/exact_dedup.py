@@ -7,17 +7,19 @@ group is larger than the sketches let through.
 
 Defined results: null text counts as empty; empty texts are equal to each other; of equal texts the
 row with the largest doc_id stays, a null doc_id being smaller than any other; of rows repeated with
-the same doc_id one stays; an empty table gives an empty result; other columns are ignored.
+the same doc_id (ties) the last in scan order stays; very long texts are hashed whole; an empty table
+gives an empty result; other columns are ignored, or kept by drop_copies, whatever their names (but those
+that begin with _tm_).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import ascii_lower, saved
+from tidemill.llm.base import ascii_lower, forget, placed, saved, with_numbers
 
 #: Counters of a sketch, and the most winners that are broadcast (about 70 bytes each).
 COUNTERS, HEAVY = 1024, 4096
@@ -51,37 +53,35 @@ def sketches(digests: DataFrame, size: int = COUNTERS) -> DataFrame:
     return digests.select("digest").mapInArrow(sketch, "digest binary, estimate long").groupBy("digest").agg(F.sum("estimate").alias("estimate"))
 
 
-def verdicts(docs: DataFrame, counters: int = COUNTERS, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, digest, row, keep_id, keep_row, group_size) for every row; `row` tells repeated rows apart."""
-    found = saved(docs.select("doc_id", F.unhex(F.sha2(ascii_lower(F.col("text")), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+def verdicts(found: DataFrame, heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
+    """found (doc_id, digest, row: one that tells rows apart, saved) with best (doc_id, row) and group_size."""
     maybe = sketches(found, counters).orderBy(F.desc("estimate"), "digest").limit(heavy)
-    best = F.max(F.struct("doc_id", "row"))
-    winners = saved(found.join(F.broadcast(maybe.select("digest")), "digest").groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "winners")
+    facts = (F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    winners = saved(found.join(F.broadcast(maybe.select("digest")), "digest").groupBy("digest").agg(*facts), "winners")
     large = found.join(F.broadcast(winners), "digest")
     rest = found.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    group = Window.partitionBy("digest")
-    rest = rest.withColumn("best", best.over(group)).withColumn("group_size", F.count(F.lit(1)).over(group))
-    columns = ["doc_id", "digest", "row", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"]
-    return large.select(*columns).unionByName(rest.select(*columns))
+    # Counted map-side and joined back, so no task holds a group, however large the sketches let it be.
+    groups = rest.groupBy(F.col("digest").alias("_tm_digest")).agg(*facts)
+    rest = rest.join(groups, F.col("digest") == F.col("_tm_digest")).drop("_tm_digest")
+    return large.select(*rest.columns).unionByName(rest)
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(ascii_lower(text), 256))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    v = verdicts(docs)
-    return v.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = saved(docs.select("doc_id", digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+    v = verdicts(found)
+    return v.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    gone = verdicts(docs).where(F.col("row") != F.col("keep_row"))
-    gone = saved(gone.groupBy("doc_id", "digest").agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_tm_same")), "gone")
-    tagged = docs.withColumn("_tm_digest", F.unhex(F.sha2(ascii_lower(F.col("text")), 256)))
-    same = tagged["doc_id"].eqNullSafe(gone["doc_id"]) & (tagged["_tm_digest"] == gone["digest"])
-    kept = tagged.join(gone.where("not _tm_same"), same, "left_anti")
-    again = gone.where("_tm_same")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    # Repeated rows of one doc_id that is also the winner: one of them stays.
-    same = kept["doc_id"].eqNullSafe(again["doc_id"]) & (kept["_tm_digest"] == again["digest"])
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_tm_digest"])
-    return kept.join(again, same, "left_anti").unionByName(once).select(*docs.columns)
+    """The documents that stay, with their own columns. Verdicts go to rows by their place in the files, so no text is shuffled."""
+    at = placed(docs)
+    found = saved(at.select("doc_id", digest(F.col("text")).alias("digest"), F.struct("_tm_file", "_tm_row").alias("row")), "digests")
+    gone = verdicts(found).where(F.col("row") != F.col("best.row")).select("row._tm_file", "row._tm_row", F.lit(1).alias("n"))
+    kept = with_numbers(at, gone, "_tm_gone").where("_tm_gone = 0").select(*docs.columns)
+    forget(found)
+    return kept

@@ -8,7 +8,9 @@ at most about the longest document.
 
 Defined results: null text has size 0; null source is a source and comes last; documents of size 0
 count in the order like others; a source without words has target 0 and nothing is taken; an empty
-table gives an empty result; repeated rows are documents of their own; other columns are ignored.
+table gives an empty result; repeated rows are documents of their own; ties in size go by doc_id (null
+last), then by a hash of the text; very long texts count whole; other columns are ignored, or kept by
+mixed(), whatever their names (but those that begin with _tm_).
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import WORD, ranked, saved
+from tidemill.llm.base import WORD, placed, ranked, saved, with_numbers
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2, 20240
@@ -44,18 +46,19 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return by.select("source", "source_size", target.alias("target"))
 
 
-def mix_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every document."""
+def mix_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, and the columns of `keep`) for every document."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = saved(docs.select("doc_id", "source", size.alias("size")), "sized")
+    # Rows equal in size and doc_id are told apart by their texts, so that reruns agree.
+    sized = saved(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_tm_text"), *keep), "sized")
     goal = saved(targets(sized, weights, share, most), "targets").withColumnRenamed("source", "_tm_source")
-    placed = ranked(sized, ["size", "doc_id"], ["source"])
-    placed = placed.join(goal, placed["source"].eqNullSafe(goal["_tm_source"])).drop("_tm_source")
+    placed_ = ranked(sized, ["size", "doc_id", "_tm_text"], ["source"]).drop("_tm_text")
+    placed_ = placed_.join(goal, placed_["source"].eqNullSafe(goal["_tm_source"])).drop("_tm_source")
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))))
     offset = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     step = lambda k: F.floor(offset + rate * k)
-    return placed.withColumn("copies", step(F.col("_tm_rank")) - step(F.col("_tm_rank") - 1)).drop("_tm_rank")
+    return placed_.withColumn("copies", step(F.col("_tm_rank")) - step(F.col("_tm_rank") - 1)).drop("_tm_rank")
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
@@ -66,15 +69,11 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns.
 
-    Documents and their copies meet in windows over one shuffle by doc_id, so the text moves once (a join
-    on two keys would move it again); rows that share a doc_id are matched by their number among those of
-    the same doc_id, in order of source and size.
+    Copies (most, so at most 9) go to rows by their place in the files, so no text is shuffled.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    copies = mix_copies(docs, **how).select(F.col("doc_id").alias("_tm_id"), F.col("source").alias("_tm_source"), F.col("size").alias("_tm_size"), F.col("copies").alias("_tm_copies"))
-    own = docs.withColumn("_tm_id", F.col("doc_id")).withColumn("_tm_source", F.col("source")).withColumn("_tm_size", size)
-    both = own.withColumn("_tm_own", F.lit(True)).unionByName(copies.withColumn("_tm_own", F.lit(False)), allowMissingColumns=True).repartition("_tm_id")
-    both = both.withColumn("_tm_n", F.row_number().over(Window.partitionBy("_tm_id", "_tm_own").orderBy(F.col("_tm_source").asc_nulls_last(), "_tm_size")))
-    both = both.withColumn("_tm_copies", F.max("_tm_copies").over(Window.partitionBy("_tm_id", "_tm_n")))
-    found = both.where(F.col("_tm_own") & (F.col("_tm_copies") > 0))
-    return found.withColumn("_tm_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tm_copies")))).select(*docs.columns)
+    if how.get("most", MOST) > 9:
+        raise ValueError("mixed() takes a document 9 times at most")
+    at = placed(docs)
+    copies = mix_copies(at, keep=("_tm_file", "_tm_row"), **how).where("copies > 0").select("_tm_file", "_tm_row", F.col("copies").alias("n"))
+    found = with_numbers(at, copies, "_tm_copies").where("_tm_copies > 0")
+    return found.withColumn("_tm_copy", F.explode(F.sequence(F.lit(1), F.col("_tm_copies")))).select(*docs.columns)
