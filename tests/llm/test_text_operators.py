@@ -153,7 +153,7 @@ def test_jaccard_join_against_brute_force(docs, rows, empty):
 
 
 def test_tree_bounds_lose_nothing():
-    from tidemill.llm.jaccard_join import Tree, points, tree_join
+    from tidemill.llm.jaccard_join import Forest, Sets, points
 
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 1 << 62, 40, dtype=np.uint64)) for _ in range(12)]
@@ -163,12 +163,52 @@ def test_tree_bounds_lose_nothing():
         s[rng.integers(0, len(s), rng.integers(0, 6))] = rng.integers(0, 1 << 62, 1, dtype=np.uint64)
         sets.append(np.unique(s))
     count = np.array([len(s) for s in sets])
-    t = Tree(points(np.concatenate(sets), count), count)
-    found = {frozenset(p) for p in zip(*map(np.ndarray.tolist, tree_join(t, t, 80)), strict=True)}
-    for a in range(300):
-        for b in range(a):
-            k = len(np.intersect1d(sets[a], sets[b]))
-            assert not 100 * k >= 80 * (count[a] + count[b] - k) or frozenset((a, b)) in found
+    values, cell = np.concatenate(sets), np.sort(rng.integers(0, 3, 300))
+    part, label = rng.integers(0, 2, 300), rng.integers(0, 200, 300)
+    for two in (False, True):
+        t = Forest(points(values, count), count, count, cell, part, label, 80)
+        found = {frozenset(p) for x, y in t.pairs(two) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        own = Sets(values, count, np.arange(300), 80)
+        for a in range(300):
+            for b in range(a):
+                k = len(np.intersect1d(sets[a], sets[b]))
+                link = 100 * k >= 80 * (count[a] + count[b] - k)
+                assert own.linked(np.array([a]), np.array([b]))[0] == link
+                if cell[a] == cell[b] and label[a] != label[b] and (not two or part[a] != part[b]):
+                    assert not link or frozenset((a, b)) in found
+                else:
+                    assert frozenset((a, b)) not in found
+
+
+def test_jaccard_join_of_a_hot_passage(spark, monkeypatch):
+    from tidemill.llm import jaccard_join
+    from tidemill.llm.jaccard_join import jaccard_components, jaccard_links, one_of_each
+
+    monkeypatch.setattr(jaccard_join, "CELL", 16)
+    rng = random.Random(8)
+    hot = words(40, 99).split()
+    texts = [" ".join([*hot, *words(rng.randint(2, 30), 1000 + k).split()]) for k in range(220)]
+    texts += [" ".join(hot[:k] + ["x"] + hot[k + 1 :]) for k in range(40)] + [None, ""]
+    rows = [(None if k % 50 == 7 else k // 2 if k % 9 == 0 else k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(t):
+        w = WORD.findall(t or "")
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for t in texts]
+    top, links = list(range(len(sets))), 0
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                links += 1
+                p, q = top[a], top[b]
+                top = [min(p, q) if t in (p, q) else t for t in top]
+    name = {t: min((rows[k][0] for k in range(len(top)) if top[k] == t and rows[k][0] is not None), default=None) for t in set(top)}
+    want = sorted(((rows[k][0], len(sets[k]), name[top[k]]) for k in range(len(sets))), key=str)
+    assert sorted((tuple(r) for r in jaccard_components(docs).collect()), key=str) == want
+    assert links > 300 and jaccard_links(docs).count() == links
+    assert one_of_each(docs).count() == len(set(top))
 
 
 def test_sentencepiece_equals_the_library(docs, rows, empty):

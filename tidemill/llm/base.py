@@ -254,20 +254,29 @@ def summed(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (long, long) can reach.
+def components(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(node, root, name): the smallest node that each node of the edges (a, b: long) can reach.
 
-    Every round takes the smallest label among neighbours and then the label's own label, so the
-    distance that a label travels doubles. Each round ends in a saved table.
+    With `names` (node, name), the node of smallest name (null last), and that name. Every round takes the
+    smallest label among neighbours and then the label's own label, so the distance that a label travels
+    doubles. Each round ends in a saved table.
     """
-    a, b = names
-    both = saved(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("u"))).distinct(), "edges")
-    labels = saved(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("l")), "labels")
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct()
+    both = saved(both, "edges")
+    nodes = both.select("v").distinct()
+    if names is None:
+        nodes = nodes.withColumn("name", F.lit(None).cast("long"))
+    else:
+        nodes = nodes.join(names.withColumnRenamed("node", "_tm_node"), F.col("v") == F.col("_tm_node"))
+    labels = saved(nodes.select("v", F.struct(F.col("name").isNull().alias("none"), "name", "v").alias("l")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), "l"), "u").groupBy("v").agg(F.min("l").alias("m"))
         low = labels.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("v").alias("l"), F.col("l").alias("far"))
-        step = saved(low.join(jump, "l").select("v", F.least("l", "far").alias("l"), (F.least("l", "far") != F.col("old")).alias("moved")), "labels")
-        labels = step.select("v", "l")
+        jump = labels.select(F.col("v").alias("_tm_v"), F.col("l").alias("far"))
+        far = F.least("l", "far")
+        step = saved(low.join(jump, F.col("l.v") == F.col("_tm_v")).select("v", far.alias("l"), (far != F.col("old")).alias("moved")), "labels")
+        forget(labels)
+        labels = step
         if step.where("moved").isEmpty():
-            return labels.select(F.col("v").alias("node"), F.col("l").alias("root"))
+            forget(both)
+            return step.select(F.col("v").alias("node"), F.col("l.v").alias("root"), F.col("l.name").alias("name"))
