@@ -56,6 +56,13 @@ def fingerprint(df: DataFrame) -> str:
     return fingerprint_text(df.schema, n, total)
 
 
+def fingerprints(df: DataFrame, by: list[str], schema: StructType) -> list[tuple[tuple[str, ...], str]]:
+    """(values of `by`, fingerprint of the columns of `schema`) for every group, in one aggregation."""
+    own = df.select(*by, row_hash(df.select(*[f"`{f.name.replace('`', '``')}`" for f in schema.fields])).alias("_tm_h"))
+    found = own.groupBy(*by).agg(F.count(F.lit(1)), F.sum(F.col("_tm_h").cast("decimal(38,0)"))).collect()
+    return [(tuple(r[: len(by)]), fingerprint_text(schema, r[-2], r[-1])) for r in found]
+
+
 def fingerprint_text(schema: StructType, n: int, total) -> str:
     return short(f"empty|{schema_text(schema)}") if not n else short(f"{n}|{schema_text(schema)}|{total}")
 

@@ -7,12 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RUNS = re.compile(r"([0-9]+|[^0-9]+)")
+_RUN = re.compile(r"[0-9]+|[^0-9]+")
 
 
-def natural_key(value: str) -> tuple:
-    """The order of `natural` for driver code."""
-    return tuple((0, int(x), "") if x[0] in "0123456789" else (1, 0, x) for x in _RUNS.findall(value))
+def natural_key(value: str) -> list[tuple[int, int, str]]:
+    """The order of `natural` for driver code, by the same triples: kind of run, length without leading zeros, text."""
+    out = []
+    for run in _RUN.findall(value):
+        bare = run.lstrip("0") or "0"
+        out.append((0, len(bare), bare) if "0" <= run[0] <= "9" else (1, 0, run))
+    return out
 
 
 def natural(value: Column) -> Column:

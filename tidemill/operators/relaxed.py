@@ -50,15 +50,27 @@ def relaxed_union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, fitted)
 
 
-def read_shards(spark: SparkSession, paths: list[str], ordered: bool = False) -> DataFrame:
-    """Parquet shards as one frame: one scan if their schemas are equal, else a relaxed union.
+def read_shards(spark: SparkSession, paths: list[str], ordered: bool = False, schemas: list[T.StructType] | None = None) -> DataFrame:
+    """Parquet shards as one frame: one scan for each schema among them, joined by a relaxed union.
 
-    `ordered` adds _shard and _row, by which the rows sort as the shards were listed and written.
+    schemas: of each path, so that no footer is opened on the driver. `ordered` adds _shard and _row, by which
+    the rows sort as the shards were listed and written; they come from the scan, without a shuffle.
     """
-    frames = [spark.read.parquet(p) for p in paths]
-    if not ordered:
-        if len({tuple((f.name, f.dataType.simpleString()) for f in df.schema.fields) for df in frames}) == 1:
-            return spark.read.schema(frames[0].schema).parquet(*paths)
-        return relaxed_union(frames)
-    tagged = [df.select("*", F.lit(k).alias("_shard"), F.concat_ws("#", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0")).alias("_row")) for k, df in enumerate(frames)]
-    return relaxed_union(tagged)
+    schemas = schemas or [spark.read.parquet(p).schema for p in paths]
+    alike: dict[str, list[int]] = {}
+    for k, schema in enumerate(schemas):
+        alike.setdefault("|".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields), []).append(k)
+    frames = [spark.read.schema(schemas[of[0]]).parquet(*[paths[k] for k in of]) for of in alike.values()]
+    if ordered:
+        folder = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
+        place = F.broadcast(spark.createDataFrame([(folder(p), k) for k, p in enumerate(paths)], "_tm_folder string, _shard int"))
+        file = F.split(F.col("_metadata.file_path"), "/")
+        row = F.concat_ws("#", F.element_at(file, -1), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"))
+        tag = lambda df: df.select("*", F.url_decode(F.element_at(file, -2)).alias("_tm_folder"), row.alias("_row"))
+        frames = [tag(df).join(place, "_tm_folder").drop("_tm_folder") for df in frames]
+    return frames[0] if len(frames) == 1 else relaxed_union(frames)
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """An ordered read without its two columns, sorted. Where an aggregate or join follows, Catalyst drops the sort."""
+    return df.orderBy("_shard", "_row").drop("_shard", "_row")
