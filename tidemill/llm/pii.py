@@ -13,10 +13,11 @@ documents that hold c, such terms are spans of kind `term` beside the base ones.
 
 Terms are runs of letters of at least TERM characters, lower-cased; offsets are code points.
 
-Defined results: null and empty texts have no span; equal texts count once in all statistics (a null one
+Defined results: null and empty texts have no span; very long texts are scanned whole, in time
+proportional to their length; spans that start together (ties) come in the order of kinds; equal texts count once in all statistics (a null one
 as empty), and all their copies get the same spans; matches that fail a check (parts above 255, digits
 out of range, Luhn) are dropped and not tried again; an empty table gives an empty result; other columns
-are ignored.
+are ignored, or kept by sanitise, whatever their names (but those that begin with _tm_).
 """
 
 from __future__ import annotations
@@ -28,18 +29,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import batched, saved
+from tidemill.llm.base import batched, placed, saved, with_numbers
 
 PRIOR, DISCLOSURE, TERM = 1, 0.9, 3
 #: Candidate terms up to which they are broadcast to the counting pass (8 bytes each).
 BROADCAST_TERMS = 1 << 20
 KINDS = ("email", "ip", "card", "phone", "term")
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
+#: Fixed patterns, each written so that a text is scanned once however long its runs are.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]++")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,31 +63,37 @@ def only_digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, kind number, normalised value), by start, then kind."""
     found = []
-    at = text.find("@")
+    at, done = text.find("@"), 0
     while at >= 0:
-        # An address lies inside a run of its characters: from the end of the last one other to the next.
+        # Before the sign as much as may stand there: not what the last address took, nor an earlier sign.
         lo = at
-        while lo > 0 and (text[lo - 1].isascii() and (text[lo - 1].isalnum() or text[lo - 1] in "._%+@-")):
+        while lo > done and LOCAL.match(text[lo - 1]):
             lo -= 1
-        run = EMAIL_RUN.match(text, lo)
-        hi = run.end() if run else at + 1
-        for m in EMAIL.finditer(text, lo, hi):
-            found.append((m.start(), m.end(), 0, m[0].lower()))
-        at = text.find("@", hi)
+        m = DOMAIN.match(text, at + 1) if lo < at else None
+        if m:
+            found.append((lo, m.end(), 0, text[lo : m.end()].lower()))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
     if DIGIT.search(text):
-        if text.count(".") >= 3:
-            for m in IP.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
-                    found.append((m.start(), m.end(), 1, m[0]))
+        for m in DOTTED.finditer(text):
+            # Of a chain of numbers four by four, from the left.
+            own, at = m[0].split("."), m.start()
+            for k in range(0, len(own) - 3, 4):
+                value = ".".join(own[k : k + 4])
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in own[k : k + 4]):
+                    found.append((at, at + len(value), 1, value))
+                at += len(value) + 1
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = only_digits(m[0])
                 if 12 <= len(digits) <= 19 and luhn(digits):
                     found.append((m.start(), m.end(), 2, digits))
         for m in PHONE.finditer(text):
-            digits = only_digits(m[0])
-            if 9 <= len(digits) <= 15:
-                found.append((m.start(), m.end(), 3, digits))
+            value = m[0].rstrip(" ().-")
+            if len(value) > 3:
+                digits = only_digits(value)
+                if 9 <= len(digits) <= 15:
+                    found.append((m.start(), m.start() + len(value), 3, digits))
     found.sort(key=lambda s: (s[0], s[2]))
     return found
 
@@ -139,17 +147,30 @@ def found(docs: DataFrame) -> DataFrame:
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND), "found")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row of each text of placed docs (null as empty). Digests are shuffled, texts are not."""
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
+    one = docs.groupBy(digest).agg(F.min(F.struct("_tm_file", "_tm_row")).alias("at")).select("at.*", F.lit(1).alias("n"))
+    return with_numbers(docs, one, "_tm_one").where("_tm_one = 1").select(F.coalesce("text", F.lit("")).alias("text"))
+
+
 def spread(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(term, texts): of terms the number of distinct texts that hold them, over all documents; of term 0 that of all texts. wanted: only these, sorted."""
+    """(term, texts): of terms the number of distinct texts of placed docs that hold them; of term 0 that of all texts. wanted: only these, sorted."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(batches):
+    def counts(term, texts):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(texts, pa.int64())], ["term", "texts"])
+
+    def run(batches):
         wanted = shared.value
+        n, total = (0 if wanted is None else len(wanted)), 0
+        held = np.zeros(n, np.int64)
         cache: dict[str, int] = {}
         for t in batched(batches):
-            held: dict[int, int] = {0: t.num_rows}
+            rest: dict[int, int] = {}
+            total += t.num_rows
             for text in t.column("text").to_pylist():
                 own = set()
                 for w in set(WORD.findall(text)):
@@ -158,20 +179,25 @@ def spread(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                     h = cache.get(w)
                     if h is None:
                         h = hashed(w.lower())
-                        if wanted is not None and (not len(wanted) or wanted[min(np.searchsorted(wanted, h), len(wanted) - 1)] != h):
-                            h = 0
+                        if wanted is not None:
+                            k = int(np.searchsorted(wanted, h))
+                            h = k if k < n and wanted[k] == h else -1
                         if len(cache) >= 300_000:
                             cache.clear()
                         cache[w] = h
                     own.add(h)
-                for h in own:
-                    if h:
-                        held[h] = held.get(h, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "texts"])
+                if wanted is None:
+                    for h in own:
+                        rest[h] = rest.get(h, 0) + 1
+                else:
+                    own.discard(-1)
+                    held[list(own)] += 1
+            if rest:
+                yield counts(list(rest), list(rest.values()))
+        some = np.flatnonzero(held)
+        yield counts(np.concatenate([[0], wanted[some] if len(some) else []]).astype(np.int64), np.concatenate([[total], held[some]]))
 
-    # Copies meet after each task has kept one of its own, so a large group is no hot spot.
-    once = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    return once.mapInArrow(run, "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
+    return distinct_texts(docs).mapInArrow(run, "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
 
 
 def disclosures(docs: DataFrame, own: DataFrame) -> DataFrame:
@@ -198,7 +224,7 @@ def disclosures(docs: DataFrame, own: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): all spans (start, end, kind number) by start, then kind; base spans and the terms that disclose them."""
-    docs = docs.select("doc_id", "text")
+    docs = placed(docs.select("doc_id", "text"))
     own = found(docs)
     # Of each text with entities the terms to mark; copies share them.
     mine = disclosures(docs, own).withColumnRenamed("copy", "_tm_copy")
