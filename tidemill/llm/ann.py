@@ -9,10 +9,14 @@ the same rule. Nearness is the inner product: vectors get one more coordinate th
 equal, so that inner product and distance agree while the graph is built. A search takes the best of
 all shards; its scores are computed again in double precision from the original vectors.
 
-Defined results: vectors that are null, of another length than most, zero, or that hold null or
-non-finite components take no part, as queries or candidates; a vector isn't its own neighbour by id,
-but equal vectors under other ids are, smaller ids first; fewer candidates than wanted are all returned;
-an empty table gives an empty result; repeated ids are rows of their own; other columns are ignored.
+A shard's graph goes to one task, which loads it once and answers all queries as they stream past.
+
+Defined results: vectors that are null, of another length than most, zero, or that hold null or non-finite
+components take no part, as queries or candidates, and neither do rows without vec_id; a row isn't its own
+neighbour, but other rows of the same vec_id or the same vector are (repeated rows), and each row of a
+repeated vec_id is a query of its own, ranked by itself; ties go to the smaller vec_id; fewer candidates
+than wanted are all returned; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from tidemill.llm.base import mix, saved
+from tidemill.llm.base import forget, mix, saved
 
 NEIGHBOURS, BUILD, SEARCH, BATCH = 16, 64, 112, 512
-#: At least so many shards, and more when one would hold more rows than this (17 MB of 64 floats).
-SHARDS, SHARD_ROWS, QUERY_BLOCK = 8, 1 << 16, 1 << 13
+#: At least so many shards, and more when one would hold more bytes of vectors (as floats) than this.
+SHARDS, SHARD_BYTES = 8, 1 << 25
 
 
 def beam(query: np.ndarray, entry: np.ndarray, points: np.ndarray, links: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,117 +171,144 @@ def level_sizes(n: int) -> list[int]:
     return sizes
 
 
-def built(ids: np.ndarray, vectors: np.ndarray, longest: float) -> dict[str, bytes | int]:
-    """A shard's index: its distinct vectors, the ids of each, and the lists of each level."""
+def built(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, scale: float, longest: float) -> dict[str, bytes | int]:
+    """A shard's index: its distinct vectors as they were given, the ids and rows of each, and the lists of each level."""
     distinct, number = np.unique(vectors, axis=0, return_inverse=True)
     number = number.ravel()
     order = np.argsort(mix(np.arange(len(distinct), dtype=np.uint64)), kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     distinct, number = distinct[order], place[number]
-    by = np.lexsort((ids, number))
-    square = (distinct.astype(np.float64) ** 2).sum(axis=1)
-    points = np.concatenate([distinct, np.sqrt(np.maximum(longest - square, 0))[:, None]], axis=1).astype(np.float32)
+    by = np.lexsort((rows, ids, number))
+    near = distinct.astype(np.float64) / scale
+    points = np.concatenate([near, np.sqrt(np.maximum(longest - (near**2).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
     sizes = level_sizes(len(distinct))
     levels = build(points, sizes)
     return {
         "nodes": len(distinct),
-        "vectors": distinct.astype(np.float32).tobytes(),
+        "width": distinct.itemsize,
+        "vectors": distinct.tobytes(),
         "ids": ids[by].astype(np.int64).tobytes(),
+        "rows": rows[by].astype(np.int64).tobytes(),
         "counts": np.bincount(number, minlength=len(distinct)).astype(np.int64).tobytes(),
         "sizes": np.array(sizes, np.int64).tobytes(),
         "links": b"".join(x.astype(np.int32).tobytes() for x in levels),
     }
 
 
-def search(index: dict, query_id: np.ndarray, query: np.ndarray, k: int, width: int = SEARCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of up to k of the shard's rows for each query."""
-    n = index["nodes"]
-    vectors = np.frombuffer(index["vectors"], np.float32).reshape(n, -1)
-    ids, counts = np.frombuffer(index["ids"], np.int64), np.frombuffer(index["counts"], np.int64)
-    first = np.cumsum(counts) - counts
-    levels, flat, at = [], np.frombuffer(index["links"], np.int32), 0
-    for level, size in enumerate(np.frombuffer(index["sizes"], np.int64).tolist()):
-        wide = NEIGHBOURS * (2 if level == 0 else 1)
-        levels.append(flat[at : at + size * wide].reshape(size, wide).astype(np.int64))
-        at += size * wide
-    out: list[list[np.ndarray]] = [[], [], []]
-    for lo in range(0, len(query), BATCH):
-        q, q_id = query[lo : lo + BATCH], query_id[lo : lo + BATCH]
-        found, _ = beam(q, descend(q, vectors, levels, 0), vectors, levels[0], max(width, k + 1))
-        r, c = np.nonzero(found >= 0)
-        node = found[r, c]
-        take = np.minimum(counts[node], k + 1)
-        row = np.repeat(r, take)
-        item = np.repeat(first[node], take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
-        score = np.einsum("nd,nd->n", q[r].astype(np.float64), vectors[node].astype(np.float64))
-        score, vec = np.repeat(score, take), ids[item]
-        other = vec != q_id[row]
-        row, vec, score = row[other], vec[other], score[other]
-        by = np.lexsort((vec, -score, row))
-        row, vec, score = row[by], vec[by], score[by]
-        n_row = np.bincount(row, minlength=len(q))
-        rank = np.arange(len(row)) - np.repeat(np.cumsum(n_row) - n_row, n_row)
-        for o, x in zip(out, (q_id[row], vec, score), strict=True):
-            o.append(x[rank < k])
-    return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
-
-
-INDEX = "shard int, nodes long, vectors binary, ids binary, counts binary, sizes binary, links binary"
+class Graph:
+    """A shard's index, loaded once."""
+
+    def __init__(self, index: dict):
+        n = index["nodes"]
+        self.vectors = np.frombuffer(index["vectors"], np.float32 if index["width"] == 4 else np.float64).reshape(n, -1)
+        self.scale = float(np.abs(self.vectors).max())
+        self.points = (self.vectors / self.scale).astype(np.float32)
+        self.ids, self.rows, self.counts = (np.frombuffer(index[c], np.int64) for c in ("ids", "rows", "counts"))
+        self.first = np.cumsum(self.counts) - self.counts
+        self.levels, flat, at = [], np.frombuffer(index["links"], np.int32), 0
+        for level, size in enumerate(np.frombuffer(index["sizes"], np.int64).tolist()):
+            wide = NEIGHBOURS * (2 if level == 0 else 1)
+            self.levels.append(flat[at : at + size * wide].reshape(size, wide))
+            at += size * wide
+
+    def search(self, row: np.ndarray, query: np.ndarray, k: int, width: int = SEARCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, vec_id, score) of up to k of the shard's rows for each query, without its own row."""
+        out: list[list[np.ndarray]] = [[], [], []]
+        for lo in range(0, len(query), BATCH):
+            given, own = query[lo : lo + BATCH], row[lo : lo + BATCH]
+            q = (given / np.abs(given).max(axis=1, keepdims=True)).astype(np.float32)
+            found, _ = beam(q, descend(q, self.points, self.levels, 0), self.points, self.levels[0], max(width, k + 1))
+            r, c = np.nonzero(found >= 0)
+            node = found[r, c]
+            take = np.minimum(self.counts[node], k + 1)
+            place = np.repeat(r, take)
+            item = np.repeat(self.first[node] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
+            score = np.einsum("nd,nd->n", given[r].astype(np.float64), self.vectors[node].astype(np.float64))
+            score, vec = np.repeat(score, take), self.ids[item]
+            other = self.rows[item] != own[place]
+            place, vec, score = place[other], vec[other], score[other]
+            by = np.lexsort((vec, -score, place))
+            place, vec, score = place[by], vec[by], score[by]
+            n_row = np.bincount(place, minlength=len(q))
+            rank = np.arange(len(place)) - np.repeat(np.cumsum(n_row) - n_row, n_row)
+            for o, x in zip(out, (place + lo, vec, score), strict=True):
+                o.append(x[rank < k])
+        return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+
+
+GRAPH = ["nodes", "width", "vectors", "ids", "rows", "counts", "sizes", "links"]
+INDEX = "shard int, nodes long, width long, vectors binary, ids binary, rows binary, counts binary, sizes binary, links binary"
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part."""
-    given = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    """(row, vec_id, embedding) of the rows that take part, saved; row tells them apart. Components stay floats, or become doubles."""
+    kind = rows.schema["embedding"].dataType
+    exact = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    given = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{exact}>").alias("embedding")).where("vec_id is not null and embedding is not null")
     common = given.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     good = "size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = float('inf')) and exists(embedding, x -> x != 0)"
-    return given.where((F.size("embedding") == (common[0] if common else -1)) & F.expr(good))
+    found = given.where((F.size("embedding") == (common[0] if common else -1)) & F.expr(good))
+    return saved(found.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"), "vectors")
 
 
-def index(rows: DataFrame) -> DataFrame:
-    """One row per shard: the graph as flat arrays, in a saved table."""
-    rows = usable(rows)
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    total, longest = rows.agg(F.count(F.lit(1)), F.max(square)).first()
-    shards = max(SHARDS, -(-total // SHARD_ROWS))
+def index(points: DataFrame) -> DataFrame:
+    """Of usable() rows one row per shard: the graph as flat arrays, in a saved table."""
+    total, size, scale = points.agg(F.count(F.lit(1)), F.max(F.size("embedding")), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
+    scale = float(scale or 1)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x.cast("double") / scale) * (x.cast("double") / scale))
+    longest = points.agg(F.max(square)).first()[0]
+    shards = max(SHARDS, -(-total * (size or 1) * 4 // SHARD_BYTES))
 
     def one(key, t):
         import pyarrow as pa
 
-        ids = np.asarray(t.column("vec_id").combine_chunks())
+        ids, rows = (np.asarray(t.column(c).combine_chunks()) for c in ("vec_id", "row"))
         flat = t.column("embedding").combine_chunks().flatten()
-        found = built(ids, np.asarray(flat).reshape(len(ids), -1), longest)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([v], pa.int64() if k == "nodes" else pa.binary()) for k, v in found.items()}})
+        found = built(ids, rows, np.asarray(flat).reshape(len(ids), -1), scale, longest)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for k, v in found.items()}})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     return saved(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(one, INDEX), "hnsw")
 
 
 def nearest(queries: DataFrame, built_index: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each query (vec_id, embedding)."""
-    shards = built_index.select("shard")
-    queries = saved(usable(queries).select(F.col("vec_id").alias("query_id"), "embedding"), "asked")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    # Every shard answers every query: a stated query set, block by block.
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(F.broadcast(shards))
-    graphs = built_index.select(F.col("shard").alias("of_shard"), *built_index.columns[1:], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("of_block"))
-
-    def answer(left, right):
+    """(query_id, rank, vec_id, score): the k nearest found for each query (row, vec_id, embedding); row: which row of the index it is, or -1."""
+    shards = (built_index.agg(F.max("shard")).first()[0] or 0) + 1
+    # Every shard answers every query: a stated query set. In each shard's rows its graph comes first, then the queries stream past it.
+    asked = queries.select(F.col("row").alias("own"), F.col("vec_id").alias("query_id"), "embedding", F.monotonically_increasing_id().alias("query"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = built_index.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+
+    def answer(batches):
         import pyarrow as pa
 
-        names = ["query_id", "vec_id", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        shard = {c: right.column(c)[0].as_py() for c in ("nodes", "vectors", "ids", "counts", "sizes", "links")}
-        ids = np.asarray(left.column("query_id").combine_chunks())
-        q = np.asarray(left.column("embedding").combine_chunks().flatten()).reshape(len(ids), -1)
-        return pa.table([pa.array(x) for x in search(shard, ids, q, k)], names=names)
-
-    pairs = asked.groupBy("shard", "block").cogroup(graphs.groupBy("of_shard", "of_block")).applyInArrow(answer, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        graph, at = None, None
+        for batch in batches:
+            shard, kind = np.asarray(batch.column("shard")), np.asarray(batch.column("kind"))
+            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(shard)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not part.num_rows:
+                    continue
+                if not kind[lo]:
+                    graph, at = Graph({c: part.column(c)[0].as_py() for c in GRAPH}), shard[lo]
+                elif at == shard[lo]:
+                    vectors = part.column("embedding").flatten()
+                    place, vec, score = graph.search(np.asarray(part.column("own")), np.asarray(vectors).reshape(part.num_rows, -1), k)
+                    ids, number = np.asarray(part.column("query_id")), np.asarray(part.column("query"))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[place], ids[place], vec.astype(np.int64), score.astype(np.float64))], ["query", "query_id", "vec_id", "score"])
+
+    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = dealt.mapInArrow(answer, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest of every row whose vec_id is divisible by `every`, against all other rows."""
-    return nearest(rows.where(F.col("vec_id") % every == 0), index(rows), k)
+    points = usable(rows)
+    built_index = index(points)
+    found = saved(nearest(points.where(F.col("vec_id") % every == 0), built_index, k), "nearest")
+    forget(points, built_index)
+    return found
