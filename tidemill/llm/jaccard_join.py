@@ -443,19 +443,30 @@ def lists(docs: DataFrame, late: np.ndarray, percent: int, seed: int) -> DataFra
     return saved(dealt.mapInArrow(scan, ", ".join(f"{c} long" for c in names)), "lists")
 
 
-def profiles(texts: DataFrame, seed: int) -> DataFrame:
-    """(cls, point, members) of texts: the shingles in ascending order."""
+def profiles(texts: DataFrame, seed: int, whole: bool = False) -> DataFrame:
+    """(cls, point) of texts; or, whole, (cls, members): the shingles in ascending order."""
 
     def run(batches):
         import pyarrow as pa
 
         for t in batched(batches, 2_000_000):
             values, count = shingle_sets(*joined_bytes(t.column("text")))
-            point = packed(values, count)
-            members = [values[e - k : e].tobytes() for e, k in zip(np.cumsum(count), count, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, count, 2 * seed)), pa.array(point, pa.binary()), pa.array(members, pa.binary())], ["cls", "point", "members"])
+            facts = [values[e - k : e].tobytes() for e, k in zip(np.cumsum(count), count, strict=True)] if whole else packed(values, count)
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(values, count, 2 * seed)), pa.array(facts, pa.binary())], names)
 
-    return saved(texts.select("text").mapInArrow(run, "cls long, point binary, members binary"), "profiles")
+    names = ["cls", "members" if whole else "point"]
+    return saved(texts.select("text").mapInArrow(run, f"cls long, {names[1]} binary"), "profiles")
+
+
+class Texts:
+    """Where a text of each class is, to make of it what a search needs. docs: placed; first: (cls, place)."""
+
+    def __init__(self, docs: DataFrame, first: DataFrame, seed: int):
+        self.docs, self.first, self.seed = docs.select("text", "_tm_file", "_tm_row"), first, seed
+
+    def profiles(self, classes_: DataFrame, whole: bool = False) -> DataFrame:
+        wanted = self.first.join(classes_.select("cls").distinct(), "cls").select("_tm_file", "_tm_row", F.lit(1).alias("n"))
+        return profiles(with_numbers(self.docs, wanted, "_tm_wanted").where("_tm_wanted = 1"), self.seed, whole)
 
 
 CELLS = ["token", "i", "j"]
@@ -485,10 +496,10 @@ def by_cell(batches, work):
         yield from work(held, numbered(held))
 
 
-def search(cells: DataFrame, profile: DataFrame, percent: int, two: bool = False, every_link: bool = False) -> DataFrame:
+def search(cells: DataFrame, profile: DataFrame, texts: Texts, percent: int, two: bool = False, every_link: bool = False) -> DataFrame:
     """(a, b): links between classes of one cell and of different roots, as many as join them; or every link.
 
-    cells: (token, i, j, part, cls, n, rest, root). two: only between the parts of a cell.
+    cells: (token, i, j, part, cls, n, rest, root); profile: (cls, point). two: only between the parts of a cell.
     """
 
     def partners(t, cell):
@@ -535,19 +546,21 @@ def search(cells: DataFrame, profile: DataFrame, percent: int, two: bool = False
         pair = cls[np.array(out, np.int64).reshape(-1, 2)]
         yield pa.RecordBatch.from_arrays([pa.array(pair.min(axis=1)), pa.array(pair.max(axis=1))], ["a", "b"])
 
-    def dealt(rows: DataFrame, *more: str) -> DataFrame:
-        own = rows.join(profile.select("cls", *more), "cls").select(*CELLS, "part", "cls", "n", "rest", "root", *more)
+    def dealt(rows: DataFrame, of: DataFrame) -> DataFrame:
+        own = rows.join(of, "cls").select(*CELLS, "part", "cls", "n", "rest", "root", of.columns[1])
         return own.repartition(*CELLS).sortWithinPartitions(*CELLS, "n", "cls")
 
     schema = "token long, i long, j long, part int, cls long, n long, rest long, root long"
-    some = saved(dealt(cells, "point").mapInArrow(lambda b: by_cell(b, partners), schema), "partners")
+    some = saved(dealt(cells, profile).mapInArrow(lambda b: by_cell(b, partners), schema), "partners")
     # Of cells that are left with the very same classes one will do: that of the first shingle, from which most is left.
     alike = (F.count(F.lit(1)).alias("classes"), *[F.sum(F.xxhash64("cls", "part", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)])
     cell = some.groupBy(*CELLS).agg(F.sum("rest").alias("left"), *alike).groupBy("classes", "h0", "h1")
     cell = cell.agg(F.max(F.struct("left", *CELLS)).alias("c")).select("c.token", "c.i", "c.j")
-    found = dealt(some.join(cell, CELLS), "members").mapInArrow(lambda b: by_cell(b, links), "a long, b long").where("a <> b").distinct()
+    kept = saved(some.join(cell, CELLS), "kept")
+    sets = texts.profiles(kept, whole=True)
+    found = dealt(kept, sets).mapInArrow(lambda b: by_cell(b, links), "a long, b long").where("a <> b").distinct()
     found = saved(found, "links")
-    forget(some)
+    forget(some, kept, sets)
     return found
 
 
@@ -571,15 +584,17 @@ def linked(docs: DataFrame, percent: int = 80, every_link: bool = False) -> tupl
     ends = run.where("cls is null").groupBy("a", "b", "members", "shingles").agg(F.min(order)["token"].alias("token"))
     ends = saved(ends.select("token", "members", "shingles"), "ends")
     rows = saved(run.where("cls is not null").select("token", "cls", "n", "rest").join(ends.select("token"), "token"), "rows")
-    wanted = first.join(rows.select("cls").distinct(), "cls").select("_tm_file", "_tm_row", F.lit(1).alias("n"))
-    profile = profiles(with_numbers(docs.select("text", "_tm_file", "_tm_row"), wanted, "_tm_wanted").where("_tm_wanted = 1"), seed)
+    texts = Texts(docs, first, seed)
+    profile = texts.profiles(rows)
     def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
         root = components(links).select(F.col("node").alias("_tm_node"), "root")
         return rows.join(root, F.col("cls") == F.col("_tm_node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("_tm_node")
 
     def apart(rows: DataFrame) -> DataFrame:
         """Of shingles whose classes aren't all joined."""
-        return rows.join(rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "token")
+        rows = saved(rows, "rooted")
+        mixed = saved(rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "apart")
+        return rows.join(mixed, "token")
 
     def whole(rows: DataFrame) -> DataFrame:
         zero = F.lit(0).cast("long")
@@ -589,24 +604,24 @@ def linked(docs: DataFrame, percent: int = 80, every_link: bool = False) -> tupl
     none = large.isEmpty()
     small = (rows if none else rows.join(F.broadcast(large.select("token")), "token", "left_anti")).withColumn("root", F.col("cls"))
     if every_link:
-        found = search(whole(small), profile, percent, every_link=True)
+        found = search(whole(small), profile, texts, percent, every_link=True)
     else:
         # Each class's largest shingle first; that joins most near copies, and only what is apart is searched at all shingles.
         first_of = small.join(ends.select("token", "members"), "token").groupBy("cls").agg(F.max(F.struct("members", "token"))["token"].alias("token"))
-        found = search(whole(small.join(first_of.select("token").distinct(), "token")), profile, percent)
-        found = found.unionByName(search(whole(apart(rooted(small.drop("root"), found))), profile, percent))
+        found = search(whole(small.join(first_of.select("token").distinct(), "token")), profile, texts, percent)
+        found = found.unionByName(search(whole(apart(rooted(small.drop("root"), found))), profile, texts, percent))
     if not none:
         cut = saved(tiles(rows, large, percent), "tiles")
         own = F.col("tile").alias("i"), F.col("tile").alias("j"), F.lit(0).alias("part"), "cls", "n", "rest", "root"
         now = cut.withColumn("root", F.col("cls"))
-        found = found.unionByName(search((now if every_link else rooted(cut, found)).select("token", *own), profile, percent, every_link=every_link))
+        found = found.unionByName(search((now if every_link else rooted(cut, found)).select("token", *own), profile, texts, percent, every_link=every_link))
         if not every_link:
             lead = rooted(cut, found).groupBy("token", "tile", "root").agg(F.min(F.struct("cls", "n", "rest")).alias("l"))
             lead = saved(lead.select("token", "l.cls", "l.n", "l.rest", "root"), "leaders")
             share = lead.groupBy("token").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(CELL)), F.sum("n") / F.lit(float(MEMBERS)))).alias("share"))
             tile = F.pmod(F.xxhash64("cls"), F.col("share"))
             lead = lead.join(share, "token").select("token", tile.alias("i"), tile.alias("j"), F.lit(0).alias("part"), "cls", "n", "rest", "root")
-            found = found.unionByName(search(lead, profile, percent))
+            found = found.unionByName(search(lead, profile, texts, percent))
             now = saved(rooted(cut, found), "rooted")
         at = now.groupBy("token", "band", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         other = at.select("token", *[F.col(c).alias(f"other_{c}") for c in ("band", "tile", "lo", "hi")])
@@ -614,7 +629,7 @@ def linked(docs: DataFrame, percent: int = 80, every_link: bool = False) -> tupl
         both = saved(at.join(other, "token").where(mixed).select("token", F.col("tile").alias("i"), F.col("other_tile").alias("j")), "both")
         if not both.isEmpty():
             side = lambda c, k: now.join(both, ["token"]).where(F.col("tile") == F.col(c)).select(*CELLS, F.lit(k).alias("part"), "cls", "n", "rest", "root")
-            found = found.unionByName(search(side("i", 0).unionByName(side("j", 1)), profile, percent, two=True, every_link=every_link))
+            found = found.unionByName(search(side("i", 0).unionByName(side("j", 1)), profile, texts, percent, two=True, every_link=every_link))
     found = saved(found.distinct(), "found")  # a pair may have met at several shingles
     forget(run, ends, rows, profile)
     return member, first, found
