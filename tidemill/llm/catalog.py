@@ -15,7 +15,7 @@ from tidemill.llm.language_id import identify
 from tidemill.llm.mixing import mix_sources
 from tidemill.llm.pieces import encoded
 from tidemill.llm.pii import personal_data
-from tidemill.llm.sharding import shard
+from tidemill.llm.sharding import BITS, DIMS, SHARDS, curve_tables, shard
 from tidemill.llm.toxicity import toxicity
 
 
@@ -111,5 +111,42 @@ from r
 """
 
 
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, a half byte a step, in a table made by the rule of the reversed polynomial."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    half = lambda c, v: f"xor(({table}::bigint[])[(xor({c}, {v}) & 15) + 1], {c} >> 4)"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}::bigint, {data}), lambda c, b: {half(half('c', '(b & 15)'), '(b >> 4)')}), {0xFFFFFFFF}::bigint)"
+
+
+def op8_sql() -> str:
+    """The curve's steps written out: h and s are its index and state after each bit, from the highest."""
+    digits, nexts = curve_tables(DIMS)
+    size, steps = 1 << DIMS, []
+    for k in range(BITS - 1, -1, -1):
+        before = f"c{k + 1}" if k < BITS - 1 else "cells"
+        at = f"s * {size} + ((_source >> {k}) & 1) + 2 * ((_lang >> {k}) & 1) + 4 * ((_size >> {k}) & 1) + 1"
+        steps.append(f"c{k} as (select * replace (h * {size} + ({digits})[{at}] as h, ({nexts})[{at}] as s) from {before})")
+    place = f"((row_number() over (order by {{0}} asc nulls last) - 1) * {1 << BITS} // count(*) over ())"
+    return f"""
+with d as (
+  select doc_id, source, lang, (strlen(coalesce(text, '')) + 8)::bigint as size, coalesce(text, '') as text from documents
+), s as (select source, {place.format("source")} as _source from (select distinct source from d)
+), l as (select lang, {place.format("lang")} as _lang from (select distinct lang from d)
+), cells as (
+  select doc_id, text, size, _source, _lang, least({(1 << BITS) - 1}, length(bin(size)) - 1) as _size, 0::bigint as h, 0 as s
+  from d join s on d.source is not distinct from s.source join l on d.lang is not distinct from l.lang
+), {", ".join(steps)}, r as (
+  select doc_id, size, {crc32_sql('text')} as text_crc32, h as curve from c0
+), k as (select *, row_number() over (order by curve, text_crc32, size, doc_id asc nulls last) - 1 as place, count(*) over () as n from r
+), p as (select *, (place * {SHARDS}) // n as shard from k)
+select doc_id, size, text_crc32, 'rows' as law, shard::int as shard, (place - (shard * n + {SHARDS - 1}) // {SHARDS})::bigint as slot, null::int as grown_shard, curve from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL, "op8_hilbert_shards": op8_sql()}

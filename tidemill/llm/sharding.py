@@ -2,13 +2,15 @@
 
 Source, language and size of a document are quantised to BITS bits each: the two strings by their
 place among the values in code-point order, the size by its bit length. Documents are ordered by the
-index of that cell on the Hilbert curve, then by doc_id, and the order is cut into runs of equal row
-counts (law `rows`). Neighbours on the curve are neighbours in every dimension, so each shard covers a
+index of that cell on the Hilbert curve, then by text_crc32 and size, so that equal texts of a cell lie
+together, then by doc_id, and the order is cut into runs of equal row counts (law `rows`). Neighbours on the curve are neighbours in every dimension, so each shard covers a
 small box and file statistics prune on any of the three columns.
 
 Defined results: null text has size 8 and checksum 0; a null source or language comes last among the
-values; fewer documents than shards leave shards of one row or none; an empty table gives an empty
-result; repeated rows are documents of their own; other columns are ignored.
+values; fewer documents than shards leave shards of one row or none; equal texts (the groups) are in one
+shard, or in neighbouring ones where a cut falls between them, if they agree in source and language; very
+long texts count whole; an empty table gives an empty result; repeated rows are documents of their own,
+and which of them (ties in all of these) gets which slot doesn't matter; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
         cells = cells.join(places, cells[column].eqNullSafe(places["_tm_value"])).drop("_tm_value")
     cells = saved(cells.select("doc_id", "size", "text_crc32", curve_index(["_tm_source", "_tm_lang", "_tm_size"], bits).alias("curve")), "cells")
     total = cells.agg(F.count(F.lit(1))).first()[0]
-    placed = ranked(cells, ["curve", "doc_id", "text_crc32", "size"]).withColumn("_tm_rank", F.col("_tm_rank") - 1)
+    placed = ranked(cells, ["curve", "text_crc32", "size", "doc_id"]).withColumn("_tm_rank", F.col("_tm_rank") - 1)
     number = F.expr(f"cast((_tm_rank * {shards}L) div {max(total, 1)}L as int)")
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
     placed = placed.withColumn("shard", number).withColumn("slot", F.col("_tm_rank") - first)
