@@ -410,6 +410,21 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
         hit += len(set(best.tolist()) & {x[1] for x in found})
         assert all(abs(s - score[v]) < 1e-9 for _, v, s in found)
     assert hit / (20 * len(got)) >= 0.9
+    # Doubles stay doubles, and each row of a repeated id is ranked by itself, the other one being a candidate.
+    exact = rng.normal(size=(300, 8))
+    rows = [(k, v.tolist(), "x", 1) for k, v in enumerate(exact)] + [(0, exact[7].tolist(), "x", 1), (None, exact[3].tolist(), "x", 1)]
+    found = {}
+    for r in neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int"), 100, 20).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: len(x) for q, x in found.items()} == {0: 40, 100: 20, 200: 20}
+    every = np.concatenate([exact, exact[7:8]])
+    ids = np.concatenate([np.arange(300), [0]])
+    for own, q in ((0, 0), (300, 0), (100, 100)):
+        score = every @ every[own]
+        score[own] = -np.inf
+        best = np.lexsort((ids, -score))[:20]
+        want = [(k + 1, int(ids[b]), score[b]) for k, b in enumerate(best)]
+        assert sum(any(a[:2] == w[:2] and abs(a[2] - w[2]) < 1e-14 for a in found[q]) for w in want) >= 18
     assert neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 

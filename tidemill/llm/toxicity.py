@@ -5,15 +5,18 @@ grams (bytes of the lower-cased word, edges included). Forward and backward gate
 over windows of WINDOW words that overlap by WINDOW - STRIDE, so that a passage of up to WINDOW - STRIDE
 + 1 words lies whole in one wherever it stands; attention pools the states of a window,
 a linear unit scores it, and a document's score is that of its worst window, shifted so that 0.5 parts
-the classes of the sample best. A fifth of the sample never enters the gradient and picks the epoch.
+the classes of the sample best. A fifth of the sample never enters the gradient; the epoch is that with the
+fewest errors on this part and on the rest together.
 
 Training takes at most POSITIVES and NEGATIVES labelled documents of at most SAMPLE_BYTES each (the
 first in order of a hash of doc_id). As labels are of documents, each epoch learns from the window that
 now scores highest in each document and from a random one in each clean document.
 
 Defined results: texts without a word (null, empty, digits only) score 0; with no labels of both
-kinds every score is 0; contradictory labels of one document count as toxic, null labels not at all;
-repeated rows score alike; an empty table gives an empty result; other columns are ignored.
+kinds every score is 0; contradictory labels of one document count as toxic, null labels not at all; of
+rows that repeat a doc_id the smallest text is learned; ties of the worst window don't matter; very long
+texts are scored whole; repeated rows score alike; an empty table gives an empty result; other columns are
+ignored, or kept by drop_toxic, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,11 +76,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Net:
-    """Parameters by name, and the shift and scale of a document's logit."""
+    """Parameters by name, and the shift of a document's logit."""
 
     p: dict[str, np.ndarray] = field(default_factory=dict)
     shift: float = 0.0
-    scale: float = 1.0
 
     @staticmethod
     def fresh(seed: int = SEED) -> Net:
@@ -150,7 +152,7 @@ class Net:
 
     def scores(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return sigmoid((self.documents(data, starts) - self.shift) * self.scale)
+            return sigmoid(self.documents(data, starts) - self.shift)
 
 
 def gathered(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
@@ -206,7 +208,7 @@ def errors(logit: np.ndarray, y: np.ndarray) -> tuple[int, float]:
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = 24, batch: int = 64, patience: int = 6, seed: int = SEED) -> Net | None:
-    """Of texts in a fixed order; every fifth is set apart: it picks the epoch, and sets shift and scale.
+    """Of texts in a fixed order; every fifth is set apart, for picking the epoch.
 
     Ends after `epochs`, or when no text is on the wrong side, or after `patience` epochs without gain.
     """
@@ -290,7 +292,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
         part = marked.where((F.col("toxic") != 0) == F.lit(bool(value))).orderBy("_tm_h", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("text", "toxic", "_tm_h", "doc_id").collect()
+    # Of rows that repeat a doc_id one counts, so that no more than was chosen is collected.
+    rows = rows.groupBy("doc_id").agg(F.min("text"), F.max("toxic"), F.max("_tm_h")).select("min(text)", "max(toxic)", "max(_tm_h)", "doc_id").collect()
     rows.sort(key=lambda r: (r[2], r[3], r[0]))
     return [r[0] for r in rows], [int(r[1] != 0) for r in rows]
 
