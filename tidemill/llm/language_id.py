@@ -9,8 +9,9 @@ too. A temperature is fitted on a fifth of them that the gradient never sees, an
 confidence below which a prediction is marked `rejected`.
 
 Defined results: null text, and text without a letter, give `und` with score 0; so does every text
-if there is nothing to learn from; ties go to the language first in code-point order; repeated rows
-are scored alike; an empty table gives an empty result; other columns are ignored.
+if there is nothing to learn from; ties go to the language first in code-point order; very long texts
+are scored whole; repeated rows are scored alike; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

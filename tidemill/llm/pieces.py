@@ -11,8 +11,10 @@ joins two: the segmentation of a BPE model.
 Characters without a piece fall back to their bytes.
 
 Defined results: null and empty texts have no ids; invalid UTF-8 never reaches this code; U+2581 in a
-text decodes as a blank, as the model can't tell them apart; an empty table gives an empty result;
-repeated rows are encoded alike; other columns are kept.
+text decodes as a blank, as the model can't tell them apart; of edges of equal score (ties) the leftmost
+joins first; very long texts are encoded whole, and so are batches of them; an empty table gives an empty
+result; repeated rows are encoded alike; other columns are kept, but those named ids, n_tokens or whole,
+whose names the results take.
 """
 
 from __future__ import annotations

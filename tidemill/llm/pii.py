@@ -39,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Fixed patterns, each written so that a text is scanned once however long its runs are.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]++")
 DIGIT = re.compile(r"[0-9]")
