@@ -17,9 +17,10 @@ in the article do: menus, adverts and notices are drawn from a small stock.
 
 What a host's pages can't tell (a host of one page; comments, which differ on every page) is left to what
 the markup says: elements and roles that are never part of an article, class or id words that name such a
-part, and <article> or <main>, outside of which nothing counts. Strings on fewer than SURE_PAGES pages or
-on less than half of the host's may also be what near copies share: where these make up most of an article,
-they stay. If all strings of an article belong to the template (a host of equal pages), they are its text.
+part, and <article> or <main>, outside of which nothing counts. Strings on fewer than SURE_PAGES pages or on
+less than half of the host's may also be lines that some articles or near copies share: in an article they
+stay, and elsewhere too where they make up most of the text. If all strings of an article belong to the
+template (a host of equal pages), they are its text.
 
 Defined results: null html is empty; a null url or one without host makes a host of its own kind; a
 page without article text has an empty string; broken markup is repaired as browsers do (unclosed and
@@ -263,6 +264,8 @@ def main_text(source: str | None, known: Template, markup: bool = True) -> str:
             strings = [(k, t) for k, t in strings if t.depth]
     if known.classes and strings:
         fixed = template(tokens, known.classes)
+        # In the article a string must be on most pages to be no line that some articles share.
+        fixed -= {k for k, t in strings if (t.within or t.depth) and t.hash in known.unsure}
         size = lambda found: sum(len(t.text) for _, t in found)
         if 2 * size([x for x in strings if x[0] in fixed and x[1].hash in known.unsure]) > size(strings):
             fixed = {k for k in fixed if tokens[k].hash not in known.unsure}
