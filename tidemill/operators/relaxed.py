@@ -62,12 +62,22 @@ def read_shards(spark: SparkSession, paths: list[str], ordered: bool = False, sc
         alike.setdefault("|".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields), []).append(k)
     frames = [spark.read.schema(schemas[of[0]]).parquet(*[paths[k] for k in of]) for of in alike.values()]
     if ordered:
-        folder = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
-        place = F.broadcast(spark.createDataFrame([(folder(p), k) for k, p in enumerate(paths)], "_tm_folder string, _shard int"))
+        name = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
         file = F.split(F.col("_metadata.file_path"), "/")
-        row = F.concat_ws("#", F.element_at(file, -1), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"))
-        tag = lambda df: df.select("*", F.url_decode(F.element_at(file, -2)).alias("_tm_folder"), row.alias("_row"))
-        frames = [tag(df).join(place, "_tm_folder").drop("_tm_folder") for df in frames]
+        row = F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0")).alias("_row")
+        # A shard is a folder of files, or, from outside, a file or a folder of folders.
+        own = [F.url_decode(F.element_at(file, -k)).alias(f"_tm_{k}") for k in (1, 2)]
+
+        def tagged(df: DataFrame) -> DataFrame:
+            if len(paths) == 1:
+                return df.select("*", F.lit(0).alias("_shard"), row)
+            out = df.select("*", *own, row)
+            for k in (1, 2):
+                place = spark.createDataFrame([(name(p), i) for i, p in enumerate(paths)], f"_tm_name{k} string, _tm_at{k} int")
+                out = out.join(F.broadcast(place), F.col(f"_tm_{k}") == F.col(f"_tm_name{k}"), "left")
+            return out.withColumn("_shard", F.coalesce("_tm_at2", "_tm_at1", F.lit(-1))).select(*df.columns, "_shard", "_row")
+
+        frames = [tagged(df) for df in frames]
     return frames[0] if len(frames) == 1 else relaxed_union(frames)
 
 

@@ -16,6 +16,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.errors import ConfigError
 from tidemill.functions.digests import fingerprints
 from tidemill.functions.natural import natural
 from tidemill.operators.relaxed import relaxed_union
@@ -179,7 +180,11 @@ class History:
     """
 
     def __init__(self, spark: SparkSession, d: str):
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tidemill-")
         root = f"{shared.rstrip('/')}/tidemill-history-{uuid.uuid4().hex}"
         self.spark, self.p = spark, Pipeline(spark, f"{root}/tree", trace=f"{root}/trace", guard=False)
         p, o = self.p, orders(spark, d).persist()
@@ -639,3 +644,129 @@ def q_stream_append(spark, d):
     stream = spark.readStream.schema("event_type string").parquet(root)
     append_batches(stream, store, "audit", root + "-checkpoint").awaitTermination()
     return store.load(list(store.shards("audit").values())).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {O} select season, count(*)::bigint as n, sum(cents)::bigint as cents from o where season in ('1996', '1997') group by season")
+def q_direct_write(spark, d):
+    p = tree(spark, d)
+    raw = p.source("raw", part="season")
+    with p.writing("raw", part={"season": "1996"}) as path:
+        orders(spark, d).where("season = '1996'").write.parquet(path)
+    p.writes("raw", orders(spark, d).where("season = '1997'"), part={"season": "1997"})
+
+    @p.step("sums", schema="season string, n long, cents long")
+    def sums(out, raw=all_of(raw, as_paths=True)):
+        spark.read.parquet(*raw).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")).write.parquet(out)
+
+    return sums()
+
+
+@query("select n_regionkey::bigint as region, count(*)::bigint as n from nation group by n_regionkey")
+def q_external(spark, d):
+    p = tree(spark, d)
+    nation = p.source("nation", external=f"{d}/nation.parquet")
+
+    @p.step("regions")
+    def regions(nation=all_of(nation)):
+        return nation.groupBy(F.col("n_regionkey").cast("long").alias("region")).agg(F.count(F.lit(1)).alias("n"))
+
+    p.run()
+    assert regions.is_current() and p.run() == []
+    return regions.load()
+
+
+@query("select src, dst, n from (values ('orders [done=no]', 'orders [done=yes]')) v(src, dst), (select count(*) filter (o_orderstatus = 'F')::bigint as n from orders)")
+def q_fixed_parts(spark, d):
+    p = tree(spark, d)
+    both = p.dataset("orders", part="done")
+
+    @p.step(both, part={"done": "no"}, once=True)
+    def every():
+        return read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+
+    @p.step(both, part={"done": "yes"})
+    def done(rows=parts(both, done="no")):
+        return rows.where("o_orderstatus = 'F'")
+
+    p.run()
+    assert p.owner("orders", {"done": "yes"}) is done and p.edges() == [("every", "done")]
+    return spark.createDataFrame([(a, b, done.load().count()) for a, b in p.dataset_edges()], "src string, dst string, n long")
+
+
+@query(f"with {O}, {S} select season, count(*) over ()::bigint as shards from s")
+def q_two_writers(spark, d):
+    one = tree(spark, d).store
+    two = Store(spark, one.files.root)
+    with one, two:  # both hold the manifest as it is now
+        assert not one.shards("d") and not two.shards("d")
+        for k, (season,) in enumerate(sorted(seasons(spark, d).collect())):
+            (one, two)[k % 2].commit("d", {"season": season}, {"k": k}, ext=".json")
+    found = Store(spark, one.files.root).shards("d")
+    return spark.createDataFrame([(part_season(x), len(found)) for x in found], "season string, shards long")
+
+
+RULES = {"listed": {"season": ["1995", "1998", "2050"]}, "from": {"season": {"ge": "1997"}}, "between": {"season": {"gt": "1995", "le": "1998"}}, "none": {}, "other key": {"league": ["a"]}}
+
+
+@query(f"with {O}, {S} select r.rule, s.season from s, (values ('listed'), ('from'), ('between'), ('none')) r(rule) where r.rule = 'none' or (r.rule = 'listed' and season in ('1995', '1998', '2050')) or (r.rule = 'from' and season >= '1997') or (r.rule = 'between' and season > '1995' and season <= '1998')")
+def q_covers(spark, d):
+    from tidemill.operators.selectors import covers
+
+    shards = history(spark, d).p.store.shards("feed").values()
+    return spark.createDataFrame([(name, s.part["season"]) for name, where in RULES.items() for s in shards if covers(where, s.part)], "rule string, season string")
+
+
+@query(f"with {O}, {S}, r as (select unnest(['first', 'again', 'part', 'forced']) as run) select r.run, v.stage, count(s.season)::bigint as built from r, (values ('root'), ('leaf')) v(stage), s where (r.run in ('first', 'forced')) or (v.stage = 'root' and r.run = 'again') or (r.run = 'part' and s.season = '1997' and v.stage = 'root') group by r.run, v.stage")
+def q_run(spark, d):
+    p, every = tree(spark, d), seasons(spark, d)
+
+    @p.step("root", part="season", universe=lambda: every, ext=".json")
+    def root(season):
+        return {"season": season}
+
+    @p.step("leaf", part="season", universe=lambda: every, ext=".json")
+    def leaf(root=same_part(root)):
+        return root
+
+    runs = {"first": p.run(), "again": p.run(), "part": p.run(part={"season": "1997"})}
+    p.force = True
+    runs["forced"] = p.run()
+    counts: dict[tuple[str, str], int] = {}
+    for run, built in runs.items():
+        for stage, _, _ in built:
+            counts[run, stage] = counts.get((run, stage), 0) + 1
+    return spark.createDataFrame([(*k, n) for k, n in counts.items()], "run string, stage string, built long")
+
+
+@query(f"with {O}, {S} select season, season = '1998' as wrong, season <> '1997' as kept from s")
+def q_verify_gc(spark, d):
+    p = tree(spark, d)
+    p.dataset("d", part="season")
+    p.store.commit_split("d", ("season",), orders(spark, d))
+    shard = p.store.shards("d")["season=1998"]
+    # Tampered with: one row twice.
+    df = spark.read.parquet(p.store.location(shard))
+    df.limit(1).write.mode("append").parquet(p.store.location(shard))
+    wrong = p.verify("d")
+    p.store.collect("d", lambda s: s.part["season"] != "1997")
+    now = set(p.store.shards("d"))
+    every = [r[0] for r in seasons(spark, d).collect()]
+    return spark.createDataFrame([(s, any(f"season={s}." in x for x in wrong), f"season={s}" in now) for s in every], "season string, wrong boolean, kept boolean")
+
+
+@query(f"with {O}, {MOVED} select season, count(*)::bigint as n, sum(cents)::bigint as cents from c group by season")
+def q_fetch(spark, d):
+    h = history(spark, d)
+    dest = f"{h.p.tree}-fetched-{uuid.uuid4().hex}"
+    files, size = h.p.fetch(dest)
+    assert files and size
+    store = Store(spark, dest)
+    return store.load(select(store.shards("features").values(), {}))
+
+
+@query(f"with {O}, {S} select v.stage, case when v.stage = 'report' then 1 else (select count(*) from s) end::bigint as shards from (values ('features'), ('cohorts'), ('report'), ('box')) v(stage)")
+def q_focus(spark, d):
+    h = history(spark, d)
+    nodes, edges = h.p.focus("features")
+    assert len(edges) == 3 and h.p.find("feat").name == "features" and not h.p.preflight()
+    return h.frame([(n, shards_of(h, n)) for n in nodes], "stage string, shards long")
