@@ -65,3 +65,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     want = Counter({(r[0], r[2], tuple(library.encode(r[1]))): copies[r[0]] for r in near if copies.get(r[0])})
     got = Counter((r.doc_id, r.source, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.n_tokens)
     assert got == want and max(want.values()) > 1
+
+
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, source string, digest int, n long, cls string, rank double, best string, copies string"
+    rest = (1, 2, "c", 0.5, "b", "x")
+    rows = [(None, None, None, *rest), (None, "no id " * 9, "s", *rest), (1, "", "s", *rest), (1, "a b c d e f", "s", *rest), (1, "a b c d e f", "s", *rest), (2, "A b c d e f", None, *rest), (3, "w " * 30_000, "s", *rest)]
+    labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    for name, some in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "source", "digest", "n", "cls", "rank", "best", "copies", "ids", "n_tokens", "whole"]
+        found = got.collect()
+        assert len(found) <= 2 * len(some) and all(r.whole and tuple(r)[2:8] == rest for r in found)
