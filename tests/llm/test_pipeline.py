@@ -1,8 +1,14 @@
 """The corpus pipeline against a brute-force version of its five stages."""
 
+import ctypes
+import os
+import platform
 import random
 import re
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +87,44 @@ def test_pipeline_with_odd_tables(spark, tmp_path):
         assert got.columns == ["doc_id", "source", "digest", "n", "cls", "rank", "best", "copies", "ids", "n_tokens", "whole"]
         found = got.collect()
         assert len(found) <= 2 * len(some) and all(r.whole and tuple(r)[2:8] == rest for r in found)
+
+
+def anonymous(pid):
+    return int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+
+
+def test_the_driver_gives_freed_memory_back(spark):
+    from tidemill.llm import base, toxicity
+
+    if platform.libc_ver()[0] != "glibc":
+        pytest.skip("other C libraries keep less, and have no command for it")
+    jvm, libc = spark.sparkContext._jvm, ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    pids = os.getpid(), jvm.java.lang.ProcessHandle.current().pid()
+    docs = base.saved(spark.createDataFrame([(k, "a b") for k in range(9)], "doc_id long, text string"), "docs")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+
+    def held_and_freed():
+        """Fill memory outside the heap, in Python and the JVM, and free all but the last of it, which keeps the C library from giving it back."""
+        deflaters, blocks = [jvm.java.util.zip.Deflater() for _ in range(600)], [libc.malloc(1000) for _ in range(100_000)]
+        for x in blocks:
+            ctypes.memset(x, 1, 1000)
+        for x in deflaters[:-3]:
+            x.end()
+        for x in blocks[:-3]:
+            libc.free(x)
+        return [anonymous(pid) for pid in pids]
+
+    for work in (lambda: base.saved(docs, "again"), lambda: toxicity.fitted(docs, labels)):
+        before, _ = held_and_freed()
+        work()
+        assert before - anonymous(pids[0]) > 50
+    _, before = held_and_freed()
+    assert base.trimmed(spark) and before - anonymous(pids[1]) > 20
+    # A JVM without the command.
+    args = spark.sparkContext._tm_trim[2]
+    args[1] = "noSuchCommand"
+    try:
+        assert not base.trimmed(spark)
+    finally:
+        args[1] = "systemTrimNativeHeap"

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    trimmed(df.sparkSession)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._tm_path = path
     return found
@@ -163,6 +165,30 @@ def released() -> None:
         trim(0)
 
 
+def trimmed(spark: SparkSession) -> bool:
+    """Give what the driver has freed back to the system, its Python's memory and its JVM's; whether the JVM could.
+
+    Compilers and planners free most of what they take outside the heap, but the C library keeps the most that
+    each thread ever used, so a driver that plans hundreds of jobs would grow with each.
+    """
+    released()
+    context = spark.sparkContext
+    jvm, new = context._jvm, context._gateway.new_array
+    try:
+        if not hasattr(context, "_tm_trim"):
+            args = new(jvm.java.lang.Object, 4)
+            args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+            args[2], args[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+            # By reflection, as the server's own class isn't public.
+            invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+            context._tm_trim = invoke, jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args
+        invoke, server, args = context._tm_trim
+        invoke.invoke(server, args)
+    except (Py4JError, PySparkException):  # other JVMs and C libraries have no such command
+        return False
+    return True
+
+
 def batched(batches, most: int = 4_000_000):
     """Arrow batches joined or cut so that each holds about `most` bytes of its text columns, one row at least."""
     import pyarrow as pa

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import LOWER, NO_LETTER, batched, fold, joined_bytes, spans, summed, word_hashes, words
+from tidemill.llm.base import LOWER, NO_LETTER, batched, fold, joined_bytes, spans, summed, trimmed, word_hashes, words
 
 POSITIVES, NEGATIVES, SAMPLE_BYTES = 1200, 1800, 6000
 WINDOW, STRIDE, INPUT, HIDDEN, BITS, SEED = 32, 16, 16, 8, 15, 11
@@ -299,7 +299,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Net | None:
-    return train(*sample(docs, labels))
+    net = train(*sample(docs, labels))
+    trimmed(docs.sparkSession)
+    return net
 
 
 def scored(docs: DataFrame, net: Net | None):
